@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from loomtext.functions import columns as K
 from loomtext.plans.build import lift
-from loomtext.plans.java import is_regular, nodes, regex
+from loomtext.plans.java import is_regular, nodes, regex, width
 from loomtext.plans.matcher import compiled
 from loomtext.plans.nodes import At, Look, as_type
 
@@ -25,12 +25,13 @@ def parse_rows(df: DataFrame, column: str, p, kind=None, into: str = "value") ->
 
 
 def first_at_each(df: DataFrame, column: str, p) -> DataFrame:
-    """Overlapping matches, the preferred one at each position: rows (..., offset, match).  Regular patterns that do not look back stay in the JVM."""
+    """Overlapping matches, the preferred one at each position: rows (..., offset, match).  Regular patterns of bounded width that do not look around stay in the JVM."""
     p = lift(p)
-    looks_back = any(isinstance(n, At) or isinstance(n, Look) and not n.ahead for n in nodes(p))
-    if is_regular(p) and not looks_back:  # what stands before a position is nothing to the pattern
+    looks = any(isinstance(n, (At, Look)) for n in nodes(p))
+    most = width(p)[1]
+    if is_regular(p) and not looks and most is not None:  # a piece of the widest match's length is all a position needs
         every = df.select("*", F.explode(F.sequence(F.lit(1), F.length(column) + 1)).alias("_i"))
-        rest, pattern = F.substring(F.col(column), F.col("_i"), F.length(column)), f"\\A({regex(p)})"
+        rest, pattern = F.substring(F.col(column), F.col("_i"), F.lit(most)), f"\\A({regex(p)})"
         return every.where(rest.rlike(pattern)).select(*df.columns, F.col("_i").cast("bigint").alias("offset"), F.regexp_extract(rest, pattern, 1).alias("match"))
     program = compiled(p)
 
@@ -46,18 +47,17 @@ def first_at_each(df: DataFrame, column: str, p) -> DataFrame:
     return df.select("*", F.explode(K._run(program, each, kind, F.col(column), None)).alias("_m")).select(*df.columns, "_m.offset", "_m.match")
 
 
-def lookup_prefix(df: DataFrame, column: str, dictionary: DataFrame, word: str = "word") -> DataFrame:
-    """The longest word of the dictionary that each text starts with, with the dictionary's other columns.
+def lookup_prefix(df: DataFrame, keys: list[str], column: str, dictionary: DataFrame, word: str = "word") -> DataFrame:
+    """The longest word of the dictionary that each text starts with: (keys, the dictionary's columns).
 
-    One row for each length of word (there are few) meets the dictionary by an equi-join, which Spark broadcasts if it
-    finds it small; the longest stays by an aggregate.  Texts with none are left out; rows are told apart by ``_row``.
+    ``keys`` tell rows apart.  One row for each length of word (there are few) meets the dictionary by an equi-join, which
+    Spark broadcasts if it finds it small; the longest stays by an aggregate.  Texts with none are left out.
     """
-    lengths = sorted(r[0] for r in dictionary.select(F.length(word)).distinct().collect() if r[0] is not None)
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    tried = rows.select("_row", F.col(column).alias("_text"), F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_n")).where(F.length("_text") >= F.col("_n"))
-    tried = tried.select("_row", F.substring(F.col("_text"), F.lit(1), F.col("_n")).alias(word))
-    best = tried.join(dictionary, word).groupBy("_row").agg(F.max_by(F.struct(*dictionary.columns), F.length(word)).alias("_best"))
-    return best.select("_row", "_best.*")
+    lengths = sorted(r[0] for r in dictionary.select(F.length(word)).distinct().collect() if r[0])
+    tried = df.select(*keys, F.col(column).alias("_text"), F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_n")).where(F.length("_text") >= F.col("_n"))
+    tried = tried.select(*keys, F.substring(F.col("_text"), F.lit(1), F.col("_n")).alias(word))
+    best = tried.join(dictionary, word).groupBy(*keys).agg(F.max_by(F.struct(*dictionary.columns), F.length(word)).alias("_best"))
+    return best.select(*keys, "_best.*")
 
 
 def lookup_everywhere(df: DataFrame, key: str, column: str, dictionary: DataFrame, word: str = "word") -> DataFrame:

@@ -357,6 +357,32 @@ def trimmed(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", K.parse(said, p).alias("inner_text"))
 
 
+@query("SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS at FROM orders")
+def date_time(spark, sf_dir):
+    said = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
+    found = K.parse(said, date("%Y-%m-%d %H:%M:%S", "%d.%m.%Y %H:%M", time=True))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.unix_timestamp(found.cast("timestamp")).alias("at"))
+
+
+@query("""
+SELECT p_partkey, CAST(i AS BIGINT) AS "offset", substr(p_name, i, 2) AS "match"
+FROM (SELECT p_partkey, p_name, unnest(generate_series(1, CAST(length(p_name) AS INT))) AS i FROM part) WHERE regexp_full_match(substr(p_name, i, 2), '[a-z]{2}')""")
+def pairs_at_each_place(spark, sf_dir):
+    return R.first_at_each(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", text(rep(Char(C.POSIX["lower"]), 2, 2))).drop("p_name")
+
+
+@query("SELECT p_partkey, strpos(p_name, ' ') > 0 AS spaced, regexp_replace(p_name, '\\b[a-z]', '#', 'g') AS starred FROM part")
+def word_edges(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", K.contains("p_name", seq(L.word_char, L.non_word_char)).alias("spaced"), K.replace_each("p_name", seq(L.word_boundary, Char(C.POSIX["lower"])), "#").alias("starred"))
+
+
+@query("SELECT doc_id, string_split(text, chr(10))[2] AS second FROM documents WHERE contains(text, chr(10))")
+def line_anchors(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("\n")))
+    p = seq(look("\n", ahead=False), L.at_linestart, L.inline, L.at_lineend)
+    return docs.select("doc_id", K.match("text", p)["match"].alias("second"))
+
+
 # -- dictionaries ------------------------------------------------------------------------------
 
 _WORDS = "SELECT 'ring' AS word, CAST(1 AS BIGINT) AS id UNION ALL SELECT 'bolt', 2 UNION ALL SELECT 'a', 3 UNION ALL SELECT 'an', 4 UNION ALL SELECT 'th', 5 UNION ALL SELECT 'the', 6 UNION ALL SELECT 'then', 7"
@@ -365,8 +391,7 @@ _WORDS = "SELECT 'ring' AS word, CAST(1 AS BIGINT) AS id UNION ALL SELECT 'bolt'
 @query(f"SELECT p_partkey, w.word AS word, w.id AS id FROM part JOIN ({_WORDS}) w ON starts_with(split_part(p_name, ' ', 2), w.word) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(w.word) DESC) = 1")
 def trie_lookup(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(2)).alias("noun"))
-    found = R.lookup_prefix(parts, "noun", spark.sql(_WORDS))
-    return parts.withColumn("_row", F.monotonically_increasing_id()).join(found, "_row").select("p_partkey", "word", "id")
+    return R.lookup_prefix(parts, ["p_partkey"], "noun", spark.sql(_WORDS))
 
 
 @query(f"""
@@ -375,7 +400,7 @@ FROM (SELECT conv_id, turn, k, max_by(word, length(word)) AS word FROM
   (SELECT conv_id, turn, k, t.toks[k] AS tok FROM (SELECT conv_id, turn, toks, unnest(generate_series(1, len(toks))) AS k FROM (SELECT conv_id, turn, string_split(lower(text), ' ') AS toks FROM conversations)) t) u
   JOIN ({_WORDS}) d ON starts_with(u.tok, d.word) GROUP BY conv_id, turn, k) w GROUP BY conv_id, turn""")
 def trie_longest(spark, sf_dir):
-    tokens = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.split(F.lower("text"), " ")).alias("tok")).withColumn("_row", F.monotonically_increasing_id())
+    tokens = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.split(F.lower("text"), " ")).alias("tok"))
     dictionary = either(*[Const(w) >> w for w in ("then", "the", "th", "an", "a", "ring", "bolt")])
     found = tokens.select("conv_id", "turn", K.try_parse("tok", dictionary).alias("word")).where("word IS NOT NULL")
     return found.groupBy("conv_id", "turn").agg(F.count("word").alias("n"), F.sum(F.length("word")).cast("bigint").alias("letters"))

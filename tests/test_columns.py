@@ -89,18 +89,18 @@ def test_rows(spark, texts):
     some = texts.where("i IN (3, 0, 1)")
     assert [(r["i"], r["ordinal"], r["found"]["match"]) for r in R.match_rows(some, "t", regex("ab?")).collect()] == [(3, 1, "ab"), (3, 2, "a")]
     assert [r["value"] for r in R.parse_rows(some.where("i = 3"), "t", text(rep(any_char))).orderBy("ordinal").collect()] == ["ab", "a", ""]
-    a = R.first_at_each(texts.where("length(t) < 20"), "t", text(rep1(Char(C.DIGIT))))
+    a = R.first_at_each(texts.where("length(t) < 20"), "t", text(rep(Char(C.DIGIT), 1, 9)))
     b = R.first_at_each(texts.where("length(t) < 20"), "t", regex(r"(\d)(?(1)\d*)"))
     assert sorted(a.select("i", "offset", "match").collect()) == sorted(b.select("i", "offset", "match").collect())
 
 
 def test_dictionaries(spark, texts):
     words = spark.createDataFrame([("a", 1), ("ab", 2), ("abcd", 3), ("12", 4)], "word string, id bigint")
-    got = R.lookup_prefix(texts, "t", words).join(texts.withColumn("_row", F.monotonically_increasing_id()), "_row")
+    got = R.lookup_prefix(texts, ["i", "t"], "t", words)
     assert {r["t"]: r["id"] for r in got.collect()} == {"a": 1, "ab": 2, "abc 12": 2, "12": 4, "a,b,c": 1}
     every = R.lookup_everywhere(texts, "i", "t", words).where("i = 4").collect()
     assert sorted((r["offset"], r["word"]) for r in every) == [(1, "a"), (1, "ab"), (5, "12")]
-    assert R.lookup_prefix(texts.limit(0), "t", words).count() == 0
+    assert R.lookup_prefix(texts.limit(0), ["i"], "t", words).count() == 0
 
 
 def test_sql_function_and_trace(spark, texts):

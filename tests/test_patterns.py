@@ -280,3 +280,20 @@ def test_predefined():
     assert [m["offset"] for m in compiled(L.word_boundary).match_all("ab c")] == [1, 3, 4, 5]
     assert L.char_table("a")[0][1] == "LATIN SMALL LETTER A"
     assert isinstance(number().map(abs), Map) and isinstance(either("a"), Alt)
+
+
+def test_explain():
+    from loomtext.plans.show import explain, tree
+
+    told = explain(seq("a", no=number()))
+    assert told.splitlines()[0] == "Seq: struct<no:bigint>" and "tier: regex" in told and "regex: " in told
+    g = Grammar()
+    g["x"] = either("a", seq("(", g.ref("x"), ")"), result="string")
+    assert tree(g["x"]).count("Ref x") == 2 and "..." in tree(g["x"])
+
+
+def test_date_times():
+    from datetime import datetime
+
+    assert parse(date("%Y-%m-%d %H:%M", time=True), "2024-02-03 04:05") == datetime(2024, 2, 3, 4, 5)
+    assert parse(date("%d %b %Y"), "3 Feb 2024") == day(2024, 2, 3)

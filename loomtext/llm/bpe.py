@@ -49,10 +49,38 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def byte_letters() -> list[str]:
+    """What stands for each byte in a byte-level vocabulary: itself if it prints, else the next letter from U+0100."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(0x100 + rest.index(b)) for b in range(256)]
+
+
+class _Ids(dict):
+    """word -> its ids, packed; a word is encoded when it is first asked for."""
+
+    def __init__(self, tokenizer, special: dict[str, bytes]):
+        super().__init__(special)
+        self.special, self.older, self.tokenize = special, {}, tokenizer.model.tokenize
+        self.letters = dict(enumerate(byte_letters()))
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = packed([t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+        self[word] = ids
+        return ids
+
+    def renew(self) -> None:
+        """Keeps the words as the older half, and starts a new one."""
+        self.older = dict(self)
+        self.clear()
+        self.update(self.special)
+
 class WordTable:
     """Encodes and decodes texts as the tokenizer in the file does (``add_special_tokens=False``)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = WORDS):
         single_thread()
         from tokenizers import Tokenizer
 
@@ -72,8 +100,7 @@ class WordTable:
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.pieces = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
         self.joined = plan["decoder"] is None
-        self.table: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.table, self.most = _Ids(self.tokenizer, self.special), words
 
     def _words(self, text: str) -> list[str] | None:
         """None: the text is the library's to split.  A special token stands as a word of its own."""
@@ -85,21 +112,13 @@ class WordTable:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        words = [self._words(t or "") for t in texts]
-        if len(self.table) > WORDS:
-            self.table, self.older = {}, self.table
-        self.table.update(self.special)
-        missing = []
-        for w in {w for ws in words if ws for w in ws}.difference(self.table):
-            if (known := self.older.get(w)) is None:
-                missing.append(w)
-            else:
-                self.table[w] = known
-        for at in range(0, len(missing), 10_000):
-            some = missing[at : at + 10_000]
-            self.table.update((w, packed(e.ids)) for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True))
-        take = self.table.__getitem__
-        return [packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if ws is None else b"".join(map(take, ws)) for t, ws in zip(texts, words, strict=True)]
+        if len(self.table) > self.most:
+            self.table.renew()
+        take, out = self.table.__getitem__, []
+        for t in texts:
+            words = self._words(t or "")
+            out.append(packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if words is None else b"".join(map(take, words)))
+        return out
 
     def decode(self, ids: bytes | None) -> str:
         """As ``decode(ids, skip_special_tokens=False)``: pieces joined by a space where the file names no decoder."""
@@ -110,9 +129,9 @@ class WordTable:
 
 
 @lru_cache(maxsize=2)
-def word_table(path: str) -> WordTable:
+def word_table(path: str, words: int = WORDS) -> WordTable:
     """The worker's own table: later tasks find the words of earlier ones."""
-    return WordTable(path)
+    return WordTable(path, words)
 
 
 def _appended(df: DataFrame, field: str, kind: str) -> T.StructType:

@@ -54,7 +54,8 @@ def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     of_byte = np.repeat(np.arange(total), sizes)
     kinds = CLASSES[data].astype(np.int64)
     one = np.bincount(of_byte * KINDS + kinds, minlength=total * KINDS).reshape(total, KINDS)
-    pair = np.bincount(of_byte[:-1] * KINDS * KINDS + kinds[:-1] * KINDS + kinds[1:], minlength=total * KINDS * KINDS).reshape(total, -1) if len(data) else np.zeros((total, KINDS * KINDS))
+    within = of_byte[1:] == of_byte[:-1]
+    pair = np.bincount((of_byte[1:] * KINDS * KINDS + kinds[:-1] * KINDS + kinds[1:])[within], minlength=total * KINDS * KINDS).reshape(total, -1)
     words = np.maximum(np.bincount(word_bag, minlength=total), 1)
     hashes = span_hashes(data, starts, ends)
     fresh = lambda group: _first_seen(group, hashes)

@@ -105,12 +105,15 @@ BLOCKS = "part bigint, block int, place bigint, n_ids bigint, doc_ids array<bigi
 _BLOCKS = pa.schema([("part", pa.int64()), ("block", pa.int32()), ("place", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
-def write(docs: DataFrame, path: str, end_id: int, block_bytes: int = 2 << 20) -> DataFrame:
-    """Encode whole texts, append ``end_id`` to each, and write the blocks; returns the written table."""
+def write(docs: DataFrame, path: str, end_id: int, block_bytes: int = 2 << 20, words_kept: int = 400_000) -> DataFrame:
+    """Encode whole texts, append ``end_id`` to each, and write the blocks; returns the written table.
+
+    ``words_kept``: words whose ids a worker keeps (twice as many at most).
+    """
     n = partitions(docs.sparkSession)
 
     def run(batches):
-        words, part, block, place = word_table(path), None, 0, 0
+        words, part, block, place = word_table(path, words_kept), None, 0, 0
         width = 2 if max(end_id, len(words.pieces) - 1) < 1 << 16 else 4
         end = struct.pack("<I", end_id)
         for batch in steps(batches, limit=block_bytes):

@@ -101,7 +101,8 @@ class Model:
     def score(self, x: np.ndarray, bags: np.ndarray) -> np.ndarray:
         if self.w is None:
             return np.full(len(bags), self.prior)
-        return self._forward((x - self.mean) / self.scale, bags)[-1].astype(np.float64)
+        # in double precision and rounded: in single, a text's last digits hang on its neighbours in the batch
+        return np.round(self._forward(((x - self.mean) / self.scale).astype(np.float64), bags)[-1], 6)
 
     def fit(self, bags_of: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 5) -> "Model":
         """``bags_of``: the passages' features of each document."""

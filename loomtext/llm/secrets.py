@@ -55,7 +55,8 @@ def scan(text: str) -> list[tuple[int, int, str]]:
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _CODES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\x[0-9A-Fa-f]{2})+")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+#: Each alphabet finds its own runs: a run of one may be cut short by a letter of the other.
+_BASE64 = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{16,}={0,2}"))
 
 
 def _utf8(raw: bytes) -> list[tuple[str, int, int]] | None:
@@ -175,7 +176,7 @@ def spans(text: str, base: set | None = None) -> list[tuple[int, int, str]]:
                 at = m.end()
             if parts:
                 enter("".join([*parts, layer[at:]]), np.concatenate([*s, starts[at:]]), np.concatenate([*e, ends[at:]]))
-        for m, opened in [*((m, _opened) for m in _BASE64.finditer(layer)), *((m, _squeezed) for m in _CODES.finditer(layer))]:
+        for m, opened in [*((m, _opened) for alphabet in _BASE64 for m in alphabet.finditer(layer)), *((m, _squeezed) for m in _CODES.finditer(layer))]:
             if inner := opened(m[0]):
                 a, b = starts[m.start() : m.end()].min(), ends[m.start() : m.end()].max()
                 enter(inner, np.full(len(inner), a), np.full(len(inner), b))

@@ -59,6 +59,10 @@ _CODES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\x[0-9A-Fa-f]{2})+")
 _BASE64 = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{16,}={0,2}"))
 
 
+#: Stand-ins of bytes that are not UTF-8, to the Latin-1 characters of those bytes.
+_BYTES = {0xDC00 + b: chr(b) for b in range(0x80, 0x100)}
+
+
 def _utf8(raw: bytes) -> list[tuple[str, int, int]] | None:
     """(character, first byte, end byte) of valid UTF-8."""
     try:
@@ -118,23 +122,24 @@ def _unpacked(raw: bytes) -> bytes | None:
     return None
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+def _lossy(raw: bytes) -> tuple[str, np.ndarray]:
+    """Text of any bytes (those that are not UTF-8 as Latin-1), and the first byte of each character and the end."""
+    text = raw.decode("utf-8", "surrogateescape")
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    widths = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+    widths[(codes >= 0xDC80) & (codes < 0xDD00)] = 1
+    return text.translate(_BYTES), np.concatenate([[0], np.cumsum(widths)])
 
 
 def _text_of(raw: bytes) -> str | None:
-    """The readable text under any number of compressed layers."""
+    """The text under any number of compressed layers, whatever its bytes."""
     seen = set()
     while (inner := _unpacked(raw)) is not None:
         if (key := hashlib.sha256(inner).digest()) in seen:
             return None
         seen.add(key)
         raw = inner
-    return _readable(raw)
+    return _lossy(raw)[0]
 
 
 def _opened(run: str) -> str | None:

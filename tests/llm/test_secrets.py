@@ -38,6 +38,13 @@ def test_layers_are_opened(layer):
     assert any(k == "assign" and a >= text.index(layer) and b <= text.index(layer) + len(layer) for a, b, k in found)
 
 
+@pytest.mark.parametrize("odd", ["\u00a0", "\u00ad", "\ufeff", "\u200b", "\u3000", "\f", "\0", b"\xe9", b"\xff\xfe", b"\xed\xa0\x80"])
+def test_layers_with_any_bytes_are_scanned(odd):
+    raw = (odd if isinstance(odd, bytes) else odd.encode()) + f" {KEY} ".encode()
+    for layer in (b64(raw), b64(gzip.compress(raw)), b64(b64(raw).encode() + b" \xe9")):
+        assert [k for *_, k in M.spans(f"é before {layer} after")] == ["assign"]
+
+
 def test_spans_map_to_the_characters():
     text = "x token%20%3D%20abc%64ef1 y"
     assert M.spans(text) == [(2, 25, "assign")]

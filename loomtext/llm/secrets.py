@@ -1,9 +1,11 @@
 """Secret scans over texts and the layers encoded in them.
 
 A worklist starts with the text.  Each layer is scanned, then unwrapped: percent codes, Unicode escapes and
-character references are decoded in place (so that a secret may begin before one and end after it); base64 runs
-become layers of their own, and so do compressed payloads in them (gzip, zlib, bz2, xz, zstandard).  Each decoded
-character keeps the span of the original text it came from, so a finding in any layer maps to a span of the text.
+character references are decoded in place (so that a secret may begin before one and end after it); base64 runs,
+joined over line ends and read from each of the four places a group of letters may start at, become layers of their
+own, and so do compressed payloads anywhere in them (gzip, zlib, bz2, xz, zstandard).  Each decoded character keeps the
+span of the original text it came from (an unpacked one: of its payload), so a finding in any layer maps to a span of
+the text.
 Layers already seen are not entered again, so the work ends at a fixpoint.
 
 Null and empty texts have no spans.  Compressed layers over ``MOST_BYTES`` when unpacked are not entered (a guard
@@ -18,6 +20,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,7 @@ LIKELY = {
     "assign": r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]",
     "access": r"AKIA[A-Z0-9]{16}",
     "hex": r"[0-9a-f]{24}",
-    "layers": r"%[0-9A-Fa-f]{2}|\\(u[0-9A-Fa-f{]|U0|x[0-9A-Fa-f])|&#[0-9xX]|[A-Za-z0-9+/_-]{16}",
+    "layers": r"%[0-9A-Fa-f]{2}|\\(u[0-9A-Fa-f{]|U0|x[0-9A-Fa-f])|&#[0-9xX]|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t>]*([\r\n]|\\[rn])(\s|>|\\[rn])*[A-Za-z0-9+/_-]",
 }
 
 
@@ -55,8 +58,17 @@ def scan(text: str) -> list[tuple[int, int, str]]:
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _CODES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\x[0-9A-Fa-f]{2})+")
-#: Each alphabet finds its own runs: a run of one may be cut short by a letter of the other.
-_BASE64 = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{16,}={0,2}"))
+#: Runs of base64 letters of either alphabet, over line ends (also written ones, quotation marks and indents).  The
+#: shortest secret, of 12 bytes, has 16 letters.
+_LETTERS, _LINE = r"[A-Za-z0-9+/_-]", r"[ \t>]*+(?:(?:[\r\n]|\\[rn])[ \t>]*+)++"
+_JOINT = re.compile(rf"(?<={_LETTERS}){_LINE}(?={_LETTERS})")
+_RUN, _RUNS = re.compile(_LETTERS + "{16,}"), re.compile(rf"(?<!{_LETTERS}){_LETTERS}++(?:{_LINE}{_LETTERS}++)*+")
+_LINES = re.compile(_LINE)
+_STANDARD = str.maketrans("-_", "+/")
+#: Holds whenever bytes may have a secret or a layer.
+_WORTH = re.compile(rb"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_\\\s>-]{16}")
+#: The first bytes of gzip, zlib, bz2, xz and zstandard payloads.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
 
 
 #: Stand-ins of bytes that are not UTF-8, to the Latin-1 characters of those bytes.
@@ -142,11 +154,25 @@ def _text_of(raw: bytes) -> str | None:
     return _lossy(raw)[0]
 
 
-def _opened(run: str) -> str | None:
-    body = run.rstrip("=")
-    if len(body) % 4 == 1:
-        return None
-    return _text_of(base64.b64decode(body + "=" * (-len(body) % 4), b"-_" if "-" in body or "_" in body else b"+/"))
+def _letters(layer: str) -> Iterator[np.ndarray]:
+    """The places of the letters of each base64 run, over line ends."""
+    for m in (_RUNS if _JOINT.search(layer) else _RUN).finditer(layer):
+        if len(m[0]) < 16:
+            continue
+        keep = np.ones(len(m[0]), bool)
+        for line in _LINES.finditer(m[0]):
+            keep[line.start() : line.end()] = False
+        if keep.sum() >= 16:
+            yield m.start() + np.flatnonzero(keep)
+
+
+def _opened(layer: str, places: np.ndarray) -> Iterator[tuple[bytes, np.ndarray]]:
+    """The bytes of a base64 run from each of the four places it may start at, and the letters from there on."""
+    run = "".join([layer[i] for i in places.tolist()]).translate(_STANDARD)
+    for k in range(4):
+        n = len(run) - k
+        n -= n % 4 == 1
+        yield base64.b64decode(run[k : k + n] + "=" * (-n % 4)), places[k : k + n]
 
 
 def _squeezed(run: str) -> str | None:
@@ -181,8 +207,17 @@ def spans(text: str, base: set | None = None) -> list[tuple[int, int, str]]:
                 at = m.end()
             if parts:
                 enter("".join([*parts, layer[at:]]), np.concatenate([*s, starts[at:]]), np.concatenate([*e, ends[at:]]))
-        for m, opened in [*((m, _opened) for alphabet in _BASE64 for m in alphabet.finditer(layer)), *((m, _squeezed) for m in _CODES.finditer(layer))]:
-            if inner := opened(m[0]):
+        for places in _letters(layer):
+            for raw, own in _opened(layer, places):
+                for m in _MAGIC.finditer(raw):
+                    if _unpacked(packed := raw[m.start() :]) is not None and (inner := _text_of(packed)):
+                        own_starts, own_ends = starts[own[m.start() * 4 // 3 :]], ends[own[m.start() * 4 // 3 :]]
+                        enter(inner, np.full(len(inner), own_starts.min()), np.full(len(inner), own_ends.max()))
+                if _WORTH.search(raw):
+                    inner, at = _lossy(raw)
+                    enter(inner, starts[own[at[:-1] * 4 // 3]], ends[own[(at[1:] * 4 - 1) // 3]])
+        for m in _CODES.finditer(layer):
+            if inner := _squeezed(m[0]):
                 a, b = starts[m.start() : m.end()].min(), ends[m.start() : m.end()].max()
                 enter(inner, np.full(len(inner), a), np.full(len(inner), b))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))

@@ -1,6 +1,8 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import zlib
 from urllib.parse import quote
@@ -45,6 +47,32 @@ def test_layers_with_any_bytes_are_scanned(odd):
         assert [k for *_, k in M.spans(f"é before {layer} after")] == ["assign"]
 
 
+LONG = b"".join(hashlib.sha512(bytes([i])).digest() for i in range(9)) + KEY.encode()
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    ", "\n> ", "\\n", "%0A"])
+@pytest.mark.parametrize("raw", [b"x" * 50 + f" {KEY} end".encode(), gzip.compress(LONG), zlib.compress(LONG), bz2.compress(LONG), lzma.compress(LONG), zstandard.compress(LONG)])
+def test_wrapped_base64_is_joined(raw, end):
+    for width in (76, 64, 9):
+        layer = end.join(b64(raw)[k : k + width] for k in range(0, len(b64(raw)), width))
+        text = f"é certificate{end}{layer} after"
+        found = M.spans(text)
+        assert any(k == "assign" and a >= text.index(layer) and b <= text.index(layer) + len(layer) for a, b, k in found)
+
+
+@pytest.mark.parametrize("before", ["/v1/", "https://h.example/cb/", "a-", "ab_", "abc/", "x+y/z-"])
+@pytest.mark.parametrize("after", ["", "/", "/x", "-ab", "_abc"])
+@pytest.mark.parametrize("raw", [f"{KEY} end".encode(), gzip.compress(LONG), ("ÿþ??" + KEY).encode()])
+def test_base64_after_other_letters_is_opened(before, after, raw):
+    for layer in (b64(raw).rstrip("="), base64.urlsafe_b64encode(raw).decode().rstrip("=")):
+        assert any(k == "assign" and a >= len(before) for a, _, k in M.spans(before + layer + after))
+
+
+def test_spans_of_base64_are_the_letters_they_came_from():
+    assert M.spans("/v1/" + b64(b"abc" + KEY.encode() + b" xyz")) == [(8, 35, "assign")]
+    assert any(k == "assign" for *_, k in M.spans(b64(f"{KEY} ".encode())[:-1].rstrip("=") + "A" * 2))
+
+
 def test_spans_map_to_the_characters():
     text = "x token%20%3D%20abc%64ef1 y"
     assert M.spans(text) == [(2, 25, "assign")]

@@ -57,7 +57,14 @@ def scan(text: str) -> list[tuple[int, int, str]]:
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-_CODES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\x[0-9A-Fa-f]{2})+")
+#: Stretches of URLs and of string literals in which bytes stand for themselves or as codes.
+_QUOTED = {
+    "%": re.compile(r"(?:%[0-9A-Fa-f]{2}|[!#-$&-;=?-~])+"),
+    "\\x": re.compile(r"""(?:\\x[0-9A-Fa-f]{2}|\\[abfnrtv0\\'"]|[ -\[\]-~])+"""),
+    "": re.compile("[\0-\xff]+"),
+}
+_QUOTE = re.compile(r"""%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\([abfnrtv0\\'"])""")
+_NAMED = dict(zip("abfnrtv0\\'\"", "\a\b\f\n\r\t\v\0\\'\"", strict=True))
 #: Runs of base64 letters of either alphabet, over line ends (also written ones, quotation marks and indents).  The
 #: shortest secret, of 12 bytes, has 16 letters.
 _LETTERS, _LINE = r"[A-Za-z0-9+/_-]", r"[ \t>]*+(?:(?:[\r\n]|\\[rn])[ \t>]*+)++"
@@ -69,50 +76,40 @@ _STANDARD = str.maketrans("-_", "+/")
 _WORTH = re.compile(rb"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_\\\s>-]{16}")
 #: The first bytes of gzip, zlib, bz2, xz and zstandard payloads.
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
+_MARKED = re.compile(_MAGIC.pattern.decode("latin-1"))
 
 
 #: Stand-ins of bytes that are not UTF-8, to the Latin-1 characters of those bytes.
 _BYTES = {0xDC00 + b: chr(b) for b in range(0x80, 0x100)}
 
 
-def _utf8(raw: bytes) -> list[tuple[str, int, int]] | None:
-    """(character, first byte, end byte) of valid UTF-8."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    out, at = [], 0
-    for c in text:
-        n = len(c.encode())
-        out.append((c, at, at + n))
-        at += n
+def _bytes_of(codes: str, width: int, mark: str) -> list[tuple[str, int, int]]:
+    """(character, first place, end place) of a run of byte codes; a byte that is not UTF-8 stays a code."""
+    text, at = _lossy(bytes.fromhex(codes.replace(mark, "")), False)
+    out = []
+    for c, a, b in zip(text, (width * at[:-1]).tolist(), (width * at[1:]).tolist(), strict=True):
+        out += [(x, a + i, a + i + 1) for i, x in enumerate(codes[a:b])] if "\ud800" <= c < "\ue000" else [(c, a, b)]
     return out
 
 
-def _percent(m: re.Match) -> list[tuple[str, int, int]] | None:
-    parts = _utf8(bytes.fromhex(m[0].replace("%", "")))
-    return parts and [(c, 3 * a, 3 * b) for c, a, b in parts]
+def _percent(m: re.Match) -> list[tuple[str, int, int]]:
+    return _bytes_of(m[0], 3, "%")
 
 
-def _escape(m: re.Match) -> list[tuple[str, int, int]] | None:
+def _escape(m: re.Match) -> list[tuple[str, int, int]]:
     s = m[0]
     if s.startswith("\\x"):
-        parts = _utf8(bytes.fromhex(s.replace("\\x", "")))
-        return parts and [(c, 4 * a, 4 * b) for c, a, b in parts]
+        return _bytes_of(s, 4, "\\x")
     if s.startswith("\\u") and s[2] != "{":
-        try:
-            text = bytes.fromhex(s.replace("\\u", "")).decode("utf-16-be")
-        except UnicodeDecodeError:
-            return None
         out, at = [], 0
-        for c in text:
+        for c in bytes.fromhex(s.replace("\\u", "")).decode("utf-16-be", "surrogatepass"):
             n = 12 if ord(c) > 0xFFFF else 6
-            out.append((c, at, at + n))
+            out += [(x, at + i, at + i + 1) for i, x in enumerate(s[at : at + n])] if "\ud800" <= c < "\ue000" else [(c, at, at + n)]
             at += n
         return out
     code = int(s[3:-1], 16) if s[2] == "{" or s[2] in "xX" else int(s[2:-1]) if s[0] == "&" else int(s[2:], 16)
     if code > 0x10FFFF or 0xD800 <= code < 0xE000:
-        return None
+        return [(c, i, i + 1) for i, c in enumerate(s)]
     return [(chr(code), 0, len(s))]
 
 
@@ -134,13 +131,13 @@ def _unpacked(raw: bytes) -> bytes | None:
     return None
 
 
-def _lossy(raw: bytes) -> tuple[str, np.ndarray]:
-    """Text of any bytes (those that are not UTF-8 as Latin-1), and the first byte of each character and the end."""
+def _lossy(raw: bytes, latin: bool = True) -> tuple[str, np.ndarray]:
+    """Text of any bytes (those that are not UTF-8 as Latin-1, or as lone surrogates), and the first byte of each character and the end."""
     text = raw.decode("utf-8", "surrogateescape")
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     widths = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
     widths[(codes >= 0xDC80) & (codes < 0xDD00)] = 1
-    return text.translate(_BYTES), np.concatenate([[0], np.cumsum(widths)])
+    return text.translate(_BYTES) if latin else text, np.concatenate([[0], np.cumsum(widths)])
 
 
 def _text_of(raw: bytes) -> str | None:
@@ -175,10 +172,35 @@ def _opened(layer: str, places: np.ndarray) -> Iterator[tuple[bytes, np.ndarray]
         yield base64.b64decode(run[k : k + n] + "=" * (-n % 4)), places[k : k + n]
 
 
-def _squeezed(run: str) -> str | None:
-    """The text of a compressed payload written in percent or hexadecimal codes."""
-    raw = bytes.fromhex(re.sub(r"%|\\x", "", run))
-    return None if _unpacked(raw) is None else _text_of(raw)
+def _quoted(layer: str) -> Iterator[tuple[bytes, np.ndarray]]:
+    """The bytes of each stretch of codes and characters, and the place in the layer of each byte and of the end.
+
+    A plus sign of a URL is read both as itself and as a space.
+    """
+    for mark, pattern in _QUOTED.items():
+        if mark not in layer or not (mark or _MARKED.search(layer)):
+            continue
+        for m in pattern.finditer(layer):
+            run = m[0]
+            if mark and mark not in run:
+                continue
+            parts, widths, at = [], [], 0
+            for code in _QUOTE.finditer(run) if mark else ():
+                if code[0][0] != mark[0]:
+                    continue
+                c = _NAMED[code[3]] if code[3] else chr(int(code[1] or code[2], 16))
+                parts += [run[at : code.start()], c]
+                widths += [np.ones(code.start() - at, np.int64), np.array([len(code[0])])]
+                at = code.end()
+            raw = "".join([*parts, run[at:]]).encode("latin-1")
+            if not _MAGIC.search(raw):
+                continue
+            places = m.start() + np.cumsum(np.concatenate([[0], *widths, np.ones(len(run) - at, np.int64)]))
+            yield raw, places
+            if mark == "%" and "+" in run:
+                plain = np.frombuffer(raw, np.uint8).copy()
+                plain[[layer[i] == "+" for i in places[:-1].tolist()]] = 0x20
+                yield plain.tobytes(), places
 
 
 def spans(text: str, base: set | None = None) -> list[tuple[int, int, str]]:
@@ -199,8 +221,7 @@ def spans(text: str, base: set | None = None) -> list[tuple[int, int, str]]:
         for pattern, decoded in ((_PERCENT, _percent), (_ESCAPE, _escape)):
             parts, at, s, e = [], 0, [], []
             for m in pattern.finditer(layer):
-                if not (chars := decoded(m)):
-                    continue
+                chars = decoded(m)
                 parts += [layer[at : m.start()], "".join(c for c, _, _ in chars)]
                 s += [starts[at : m.start()], np.array([starts[m.start() + a] for _, a, _ in chars])]
                 e += [ends[at : m.start()], np.array([ends[m.start() + b - 1] for _, _, b in chars])]
@@ -216,10 +237,11 @@ def spans(text: str, base: set | None = None) -> list[tuple[int, int, str]]:
                 if _WORTH.search(raw):
                     inner, at = _lossy(raw)
                     enter(inner, starts[own[at[:-1] * 4 // 3]], ends[own[(at[1:] * 4 - 1) // 3]])
-        for m in _CODES.finditer(layer):
-            if inner := _squeezed(m[0]):
-                a, b = starts[m.start() : m.end()].min(), ends[m.start() : m.end()].max()
-                enter(inner, np.full(len(inner), a), np.full(len(inner), b))
+        for raw, places in _quoted(layer):
+            for m in _MAGIC.finditer(raw):
+                if _unpacked(packed := raw[m.start() :]) is not None and (inner := _text_of(packed)):
+                    a, b = starts[places[m.start()] : places[-1]].min(), ends[places[m.start()] : places[-1]].max()
+                    enter(inner, np.full(len(inner), a), np.full(len(inner), b))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

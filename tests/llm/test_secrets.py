@@ -5,7 +5,7 @@ import hashlib
 import lzma
 import re
 import zlib
-from urllib.parse import quote
+from urllib.parse import quote, quote_plus
 
 import pytest
 import zstandard
@@ -73,6 +73,24 @@ def test_spans_of_base64_are_the_letters_they_came_from():
     assert any(k == "assign" for *_, k in M.spans(b64(f"{KEY} ".encode())[:-1].rstrip("=") + "A" * 2))
 
 
+@pytest.mark.parametrize("layer", [
+    quote("café " + KEY + " été", safe="", encoding="latin-1"), "%FF" + "".join(f"%{b:02X}" for b in KEY.encode()), "\\ud800" + "".join(f"\\u{ord(c):04x}" for c in KEY) + "\\udc00",
+    "\\xe9" + "".join(f"\\x{ord(c):02x}" for c in KEY) + "\\xe9", quote(quote("é" + KEY, safe="", encoding="latin-1"), safe=""),
+])
+def test_runs_with_bad_bytes_are_decoded(layer):
+    assert [k for *_, k in M.spans(f"é before {layer} after")] == ["assign"]
+    assert M.spans("%FF%74%6F%6B%65%6E%3D%61%62%63%64%65%66%FF") == [(3, 39, "assign")]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+@pytest.mark.parametrize("raw", [KEY.encode(), b" " * 999 + KEY.encode() + b" x y" * 40, LONG])
+def test_payloads_of_codes_and_characters_are_opened(pack, raw):
+    packed = pack(raw)
+    for layer in (quote(packed), quote(packed, safe=""), quote_plus(packed), repr(packed), "".join(f"\\u{b:04x}" if b < 32 or b > 126 else chr(b) for b in packed), repr(quote(packed).encode())):
+        text = f"é before https://h.example/?q={layer} after"
+        assert any(k == "assign" and a >= text.index(layer) and b <= text.index(layer) + len(layer) + 6 for a, b, k in M.spans(text)), layer
+
+
 def test_spans_map_to_the_characters():
     text = "x token%20%3D%20abc%64ef1 y"
     assert M.spans(text) == [(2, 25, "assign")]

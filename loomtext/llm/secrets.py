@@ -8,8 +8,9 @@ span of the original text it came from (an unpacked one: of its payload), so a f
 the text.
 Layers already seen are not entered again, so the work ends at a fixpoint.
 
-Null and empty texts have no spans.  Compressed layers over ``MOST_BYTES`` when unpacked are not entered (a guard
-against bombs; a parameter).
+Null and empty texts have no spans.  All members, streams and frames of a payload are read, a damaged one as far as it
+goes.  An unpacked layer over ``MOST_BYTES`` (a parameter) is read as a stream of windows of that size that overlap by
+a quarter, so memory stays bounded; a layer encoded within it is cut if it crosses a window's end by more than that.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from loomtext.llm.common import steps, table
 
 MOST_BYTES = 64 << 20
+#: Packed bytes handed to a decompressor at once.
+BLOCK = 1 << 16
 KINDS = ("assign", "access", "hex")
 #: The contract's patterns, and the shortest match kept of each (of group 2 for the first).
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -113,22 +116,108 @@ def _escape(m: re.Match) -> list[tuple[str, int, int]]:
     return [(chr(code), 0, len(s))]
 
 
-def _unpacked(raw: bytes) -> bytes | None:
-    """The payload of a compressed layer, or None."""
+class _Source:
+    """Bytes, from a place on or from pieces, taken block by block; what was not used is given back."""
+
+    def __init__(self, held: bytes, at: int = 0, pieces: Iterator[bytes] = iter(())):
+        self.held, self.at, self.pieces, self.whole = held, at, pieces, False
+
+    def peek(self, n: int) -> bytes:
+        while len(self.held) - self.at < n and (more := next(self.pieces, None)) is not None:
+            self.held, self.at = self.held[self.at :] + more, 0
+        return self.held[self.at : self.at + n]
+
+    def take(self, n: int) -> bytes:
+        out = self.peek(n)
+        self.at += len(out)
+        return out
+
+
+def _engine(head: bytes):
+    if head[:3] == b"\x1f\x8b\x08" or head[:1] == b"\x78":
+        return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor(max_window_size=1 << 31).decompressobj()
+    return None
+
+
+def _unpacked(source: _Source) -> Iterator[bytes]:
+    """Pieces of what is packed in all members, streams and frames from here on, as far as they can be read."""
+    first, most = True, min(1 << 20, MOST_BYTES)
     try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-            unpack = zlib.decompressobj(47)
-            out = unpack.decompress(raw, MOST_BYTES)
-            return out if unpack.eof else None
-        if raw[:3] == b"BZh" or raw[:6] == b"\xfd7zXZ\0":
-            unpack = bz2.BZ2Decompressor() if raw[:1] == b"B" else lzma.LZMADecompressor()
-            out = unpack.decompress(raw, MOST_BYTES)
-            return out if unpack.eof else None
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            return zstandard.ZstdDecompressor().stream_reader(raw).read(MOST_BYTES)
+        while True:
+            head = source.peek(8)
+            if (engine := _engine(head)) is None:
+                if head[:1] and 0x50 <= head[0] < 0x60 and head[1:4] == b"\x2a\x4d\x18":
+                    n = int.from_bytes(source.take(8)[4:], "little")
+                    while n and (got := source.take(min(n, BLOCK))):
+                        n -= len(got)
+                elif not first and head[:1] == b"\0":
+                    source.at -= len(source.take(BLOCK).lstrip(b"\0"))
+                else:
+                    return
+                continue
+            first, source.whole, full = False, False, False
+            #: A zstandard block of four bytes may hold 128 KB, and its output has no bound of its own.
+            zstd = not hasattr(engine, "needs_input") and not isinstance(engine, type(zlib.decompressobj()))
+            while not engine.eof:
+                data = b"" if zstd else getattr(engine, "unconsumed_tail", b"")
+                if not data and not full and getattr(engine, "needs_input", True) and not (data := source.take(256 if zstd else BLOCK)):
+                    return
+                out = engine.decompress(data) if zstd else engine.decompress(data, most)
+                full = not zstd and not hasattr(engine, "needs_input") and len(out) == most
+                if out:
+                    yield out
+            source.at -= len(engine.unused_data)
+            source.whole = True
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError, zstandard.ZstdError):
-        return None
-    return None
+        source.whole = False
+
+
+def _gathered(stream: Iterator[bytes], n: int) -> bytes:
+    out, size = [], 0
+    while size < n and (piece := next(stream, None)) is not None:
+        out.append(piece)
+        size += len(piece)
+    return b"".join(out)
+
+
+def _windows(raw: bytes, at: int) -> Iterator[bytes]:
+    """What the payload at a place holds: whole, or over ``MOST_BYTES`` in windows that overlap by a quarter.
+
+    A packed layer of more than one window is unpacked in turn; the worklist does that for all others.
+    """
+    depth, seen = 1, set()
+    while True:
+        stream = _unpacked(_Source(raw, at))
+        for _ in range(depth - 1):
+            stream = _unpacked(_Source(b"", 0, stream))
+        window = _gathered(stream, MOST_BYTES)
+        deeper = len(window) >= MOST_BYTES and _MAGIC.match(window) and (key := hashlib.sha256(window).digest()) not in seen
+        while window:
+            yield window
+            more = _gathered(stream, MOST_BYTES - MOST_BYTES // 4)
+            window = more and window[-(MOST_BYTES // 4) :] + more
+        if not deeper:
+            return
+        seen.add(key)
+        depth += 1
+
+
+def _payloads(raw: bytes) -> Iterator[tuple[int, int]]:
+    """(start, end) of the compressed payloads in ``raw``; a damaged one may end anywhere."""
+    past = 0
+    for m in _MAGIC.finditer(raw):
+        if m.start() < past:
+            continue
+        source = _Source(raw, m.start())
+        if sum(map(len, _unpacked(source))):
+            past = source.at if source.whole else past
+            yield m.start(), source.at if source.whole else len(raw)
 
 
 def _lossy(raw: bytes, latin: bool = True) -> tuple[str, np.ndarray]:
@@ -140,36 +229,27 @@ def _lossy(raw: bytes, latin: bool = True) -> tuple[str, np.ndarray]:
     return text.translate(_BYTES) if latin else text, np.concatenate([[0], np.cumsum(widths)])
 
 
-def _text_of(raw: bytes) -> str | None:
-    """The text under any number of compressed layers, whatever its bytes."""
-    seen = set()
-    while (inner := _unpacked(raw)) is not None:
-        if (key := hashlib.sha256(inner).digest()) in seen:
-            return None
-        seen.add(key)
-        raw = inner
-    return _lossy(raw)[0]
+def _letters(layer: str) -> Iterator[tuple[str, re.Match]]:
+    """The letters of each base64 run, without line ends, and the run."""
+    for m in (_RUNS if _JOINT.search(layer) else _RUN).finditer(layer):
+        if len(run := _LINES.sub("", m[0])) >= 16:
+            yield run.translate(_STANDARD), m
 
 
-def _letters(layer: str) -> Iterator[np.ndarray]:
-    """The places of the letters of each base64 run, over line ends."""
-    for m in (_RUNS if _JOINT.search(layer) else _RUN).finditer(layer):
-        if len(m[0]) < 16:
-            continue
-        keep = np.ones(len(m[0]), bool)
-        for line in _LINES.finditer(m[0]):
-            keep[line.start() : line.end()] = False
-        if keep.sum() >= 16:
-            yield m.start() + np.flatnonzero(keep)
+def _places(m: re.Match) -> np.ndarray:
+    """The places of a run's letters in its layer."""
+    keep = np.ones(len(m[0]), bool)
+    for line in _LINES.finditer(m[0]):
+        keep[line.start() : line.end()] = False
+    return m.start() + np.flatnonzero(keep)
 
 
-def _opened(layer: str, places: np.ndarray) -> Iterator[tuple[bytes, np.ndarray]]:
-    """The bytes of a base64 run from each of the four places it may start at, and the letters from there on."""
-    run = "".join([layer[i] for i in places.tolist()]).translate(_STANDARD)
+def _opened(run: str) -> Iterator[tuple[bytes, int]]:
+    """The bytes of a base64 run from each of the four places it may start at, and that place."""
     for k in range(4):
         n = len(run) - k
         n -= n % 4 == 1
-        yield base64.b64decode(run[k : k + n] + "=" * (-n % 4)), places[k : k + n]
+        yield base64.b64decode(run[k : k + n] + "=" * (-n % 4)), k
 
 
 def _quoted(layer: str) -> Iterator[tuple[bytes, np.ndarray]]:
@@ -214,8 +294,23 @@ def spans(text: str, base: set | None = None) -> list[tuple[int, int, str]]:
             seen.add(key)
             work.append((layer, starts, ends))
 
+    def inside(raw: bytes, a: int, low: int, high: int):
+        return ((window, low, high) for window in _windows(raw, a))
+
     while work:
+        if not isinstance(work[-1], tuple):
+            if (piece := next(work[-1], None)) is None:
+                work.pop()
+                continue
+            raw, low, high = piece
+            work += [inside(raw, a, low, high) for a, _ in _payloads(raw)]
+            if _WORTH.search(raw):
+                inner = raw.decode("utf-8", "surrogateescape")
+                enter(inner, np.broadcast_to(low, len(inner)), np.broadcast_to(high, len(inner)))
+            continue
         layer, starts, ends = work.pop()
+        #: An unpacked layer has one span, and no map of its characters.
+        flat = not starts.strides[0]
         for a, b, kind in scan(layer) if layer is not text else ():
             found.add((int(starts[a:b].min()), int(ends[a:b].max()), kind))
         for pattern, decoded in ((_PERCENT, _percent), (_ESCAPE, _escape)):
@@ -223,25 +318,33 @@ def spans(text: str, base: set | None = None) -> list[tuple[int, int, str]]:
             for m in pattern.finditer(layer):
                 chars = decoded(m)
                 parts += [layer[at : m.start()], "".join(c for c, _, _ in chars)]
-                s += [starts[at : m.start()], np.array([starts[m.start() + a] for _, a, _ in chars])]
-                e += [ends[at : m.start()], np.array([ends[m.start() + b - 1] for _, _, b in chars])]
+                if not flat:
+                    s += [starts[at : m.start()], np.array([starts[m.start() + a] for _, a, _ in chars])]
+                    e += [ends[at : m.start()], np.array([ends[m.start() + b - 1] for _, _, b in chars])]
                 at = m.end()
             if parts:
-                enter("".join([*parts, layer[at:]]), np.concatenate([*s, starts[at:]]), np.concatenate([*e, ends[at:]]))
-        for places in _letters(layer):
-            for raw, own in _opened(layer, places):
-                for m in _MAGIC.finditer(raw):
-                    if _unpacked(packed := raw[m.start() :]) is not None and (inner := _text_of(packed)):
-                        own_starts, own_ends = starts[own[m.start() * 4 // 3 :]], ends[own[m.start() * 4 // 3 :]]
-                        enter(inner, np.full(len(inner), own_starts.min()), np.full(len(inner), own_ends.max()))
+                inner = "".join([*parts, layer[at:]])
+                if flat:
+                    enter(inner, np.broadcast_to(starts[0], len(inner)), np.broadcast_to(ends[0], len(inner)))
+                else:
+                    enter(inner, np.concatenate([*s, starts[at:]]), np.concatenate([*e, ends[at:]]))
+        for run, letters in _letters(layer):
+            for raw, k in _opened(run):
+                if flat:
+                    work.append(iter([(raw, int(starts[0]), int(ends[0]))]))
+                    continue
+                own = None
+                for a, b in _payloads(raw):
+                    own = _places(letters)[k:] if own is None else own
+                    around = own[a * 4 // 3 : (b * 4 - 1) // 3 + 1]
+                    work.append(inside(raw, a, int(starts[around].min()), int(ends[around].max())))
                 if _WORTH.search(raw):
+                    own = _places(letters)[k:] if own is None else own
                     inner, at = _lossy(raw)
                     enter(inner, starts[own[at[:-1] * 4 // 3]], ends[own[(at[1:] * 4 - 1) // 3]])
         for raw, places in _quoted(layer):
-            for m in _MAGIC.finditer(raw):
-                if _unpacked(packed := raw[m.start() :]) is not None and (inner := _text_of(packed)):
-                    a, b = starts[places[m.start()] : places[-1]].min(), ends[places[m.start()] : places[-1]].max()
-                    enter(inner, np.full(len(inner), a), np.full(len(inner), b))
+            for a, b in _payloads(raw):
+                work.append(inside(raw, a, int(starts[places[a] : places[b]].min()), int(ends[places[a] : places[b]].max())))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

@@ -91,6 +91,36 @@ def test_payloads_of_codes_and_characters_are_opened(pack, raw):
         assert any(k == "assign" and a >= text.index(layer) and b <= text.index(layer) + len(layer) + 6 for a, b, k in M.spans(text)), layer
 
 
+PACKS = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress]
+
+
+@pytest.mark.parametrize("pack", PACKS)
+def test_all_members_are_read(pack):
+    skipped = b"\x50\x2a\x4d\x18\3\0\0\0abc" if pack is zstandard.compress else b""
+    for other in (pack, gzip.compress):
+        raw = pack(b"plain ") + skipped + pack(b"") + other(f" {KEY} ".encode())
+        for layer in (b64(raw), b64(raw + b"\0" * 7 + b"rest"), b64(gzip.compress(raw)), quote(raw)):
+            assert any(k == "assign" and a >= 7 and b <= 7 + len(layer) for a, b, k in M.spans(f"before {layer} after"))
+    assert M.spans(f"before {b64(pack(KEY.encode()) + b' rest and more')} after")[0][0] == 7
+
+
+@pytest.mark.parametrize("pack", PACKS)
+def test_large_payloads_are_read_in_windows(pack, monkeypatch):
+    for most in (1 << 14, 1 << 16):
+        monkeypatch.setattr(M, "MOST_BYTES", most)
+        for at in (0, most - 7, most + 5, 5 * most // 2):
+            raw = (b"plain text " * most)[:at] + f" {KEY} ".encode() + b"plain text " * (3 * most // 11)
+            assert {k for *_, k in M.spans(b64(pack(raw)))} == {"assign"}
+    noise = b"".join(hashlib.sha512(i.to_bytes(4)).digest() for i in range(3 << 8))
+    monkeypatch.setattr(M, "MOST_BYTES", 1 << 14)
+    assert {k for *_, k in M.spans(b64(gzip.compress(pack(noise + f" {KEY} ".encode()))))} == {"assign"}
+    assert {k for *_, k in M.spans(b64(pack(b"x^2 is no payload " * (1 << 12) + f" {KEY} ".encode())))} == {"assign"}
+
+
+def test_a_cut_payload_is_read_as_far_as_it_goes():
+    assert {k for *_, k in M.spans(b64(gzip.compress(f" {KEY} ".encode() + LONG * 9)[:-200]))} == {"assign"}
+
+
 def test_spans_map_to_the_characters():
     text = "x token%20%3D%20abc%64ef1 y"
     assert M.spans(text) == [(2, 25, "assign")]

@@ -149,10 +149,14 @@ def held_out(doc_id: str = "doc_id") -> "F.Column":
 
 
 def stratified(rows: DataFrame, label: str, per: int, most: int, doc_id: str = "doc_id") -> tuple[DataFrame, dict]:
-    """About ``per`` rows of each label, ``most`` in all, chosen by a hash of their ids; and the labels' counts."""
+    """About ``per`` rows of each label, fewer if all labels together exceed ``most``, chosen by a hash of their ids; and the labels' counts.
+
+    The excess that chance leaves over ``most`` is taken from each label in proportion.
+    """
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), label).limit(most).collect()}
     place = F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1_000_000))
+    own = min(per, max(1, most // max(1, len(counts))))
     bound = F.lit(0)
     for value, n in counts.items():
-        bound = F.when(F.col(label) == F.lit(value), F.lit(-(-per * 1_000_000 // n))).otherwise(bound)
-    return rows.where(place < bound).orderBy(place, doc_id).limit(most), counts
+        bound = F.when(F.col(label) == F.lit(value), F.lit(min(1_000_000, -(-own * 1_000_000 // n)))).otherwise(bound)
+    return rows.where(place < bound).orderBy(place / F.greatest(bound, F.lit(1)), doc_id).limit(most).orderBy(place, doc_id), counts

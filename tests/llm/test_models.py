@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from loomtext.llm import languages, quality
+from loomtext.llm.common import stratified
 
 SF = "/root/testdata/sf0.01"
 ODD = [None, "", "12 34 !!", "the", "\n\n", "é", "word " * 50_000, "the", "漢字"]
@@ -38,6 +39,14 @@ def test_language_edges(spark, docs_of):
     assert languages.predict(docs.limit(0), model).count() == 0
 
 
+def test_rare_labels_stay_in_the_sample(spark):
+    rows = [(f"common{k}", i) for k in range(50) for i in range(k * 1000, k * 1000 + 1000)] + [(f"rare{k}", i) for k in range(10) for i in range(90_000 + k * 20, 90_020 + k * 20)]
+    some, counts = stratified(spark.createDataFrame(rows, "lang string, doc_id bigint"), "lang", 400, 600)
+    got = [r["lang"] for r in some.collect()]
+    assert len(got) <= 600 and set(got) == set(counts) and len(counts) == 60
+    assert stratified(spark.createDataFrame([], "lang string, doc_id bigint"), "lang", 400, 600)[0].count() == 0
+
+
 def test_quality(spark):
     told = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = quality.op9_quality_classifier(spark, SF).collect()

@@ -4,8 +4,8 @@ Texts are split into the tokenizer's own words, each distinct word of a block is
 library, and the ids are joined back by the words' positions; decoding joins ids with the id-to-piece table.  The
 table is kept by block of texts, and from block to block in each Python worker, up to twice ``WORDS`` entries (the
 less recent half goes first): a corpus-wide table would shuffle a row for every word position.  Special-token strings in a text are what the library makes of them:
-single special ids.  The splitting rules here cover code points below U+0300; a text with any other is given to
-the library whole, so ids are always the library's own.
+single special ids.  The splitting rules here cover code points below U+0300; a text with any other is split by the
+library's normalizer and pre-tokenizer, and its words go through the same table.
 
 Null counts as empty; an empty text has no ids and decodes to the empty text.  Repeated rows stay repeated.
 """
@@ -100,12 +100,20 @@ class WordTable:
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.pieces = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
         self.joined = plan["decoder"] is None
+        self.byte = {c: chr(b) for b, c in enumerate(byte_letters())}
         self.table, self.most = _Ids(self.tokenizer, self.special), words
 
-    def _words(self, text: str) -> list[str] | None:
-        """None: the text is the library's to split.  A special token stands as a word of its own."""
+    def _split(self, text: str) -> list[str]:
+        """Words by the library's own rules."""
+        if self.tokenizer.normalizer is not None:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        return ["".join(w).encode("latin-1").decode() for w in (map(self.byte.__getitem__, piece) for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))]
+
+    def _words(self, text: str) -> list[str]:
+        """A special token stands as a word of its own."""
         if not text.isascii() and _BEYOND.search(text):
-            return None
+            parts = [text] if self.cut is None else self.cut.split(text)
+            return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else self._split(part))]
         if self.cut is None or "<|" not in text or len(parts := self.cut.split(text)) == 1:
             return self.word.findall(text.lower() if self.lower else text)
         return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else self.word.findall(part.lower() if self.lower else part))]
@@ -114,11 +122,8 @@ class WordTable:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.table) > self.most:
             self.table.renew()
-        take, out = self.table.__getitem__, []
-        for t in texts:
-            words = self._words(t or "")
-            out.append(packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if words is None else b"".join(map(take, words)))
-        return out
+        take = self.table.__getitem__
+        return [b"".join(map(take, self._words(t or ""))) for t in texts]
 
     def decode(self, ids: bytes | None) -> str:
         """As ``decode(ids, skip_special_tokens=False)``: pieces joined by a space where the file names no decoder."""

@@ -85,3 +85,14 @@ def test_token_files(spark, docs_of):
     assert files.read(files.write(docs_of(["a"]).limit(0), path, 2)).count() == 0
     with pytest.raises(ValueError):
         files.Block(b"nope" + bytes(60))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_of_all_scripts_go_through_the_table(name):
+    made = bpe.WordTable(bpe.vocabulary(name))
+    texts = ["It’s “quoted” — 5€ 😀  next\n\n", "Привет, мир! Ёлка 123", "漢字かな交じり文\u3000です", "e\u0301 É ﬁ ǅ İ K", "a…<|endoftext|>b’ <|endoftext|>", " \u2003x\u2028\u00a0y\u200b ", "Ġ ’ Ġthe", "नमस्ते ٣٤ Ⅷ ½ ’s 'S", "\ufeff\0’\x7f\U0010ffff"]
+    want = [bpe.packed(made.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert made.encode(texts) == want and "漢字かな交じり文" in "".join(made.table) and made.encode(texts[::-1]) == want[::-1]
+    found = len(made.table)
+    made.encode(texts)
+    assert len(made.table) == found > 20

@@ -324,6 +324,11 @@ def byte_offsets(spark, sf_dir):
     return docs.select("doc_id", K.byte_offset("text", F.lit(11)).alias("at_byte"))
 
 
+@query("SELECT doc_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS at_byte FROM documents")
+def byte_offset_ends(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", K.byte_offset("text", F.length("text") + 1).alias("at_byte"))
+
+
 # -- numbers, dates, bytes ---------------------------------------------------------------------
 
 

@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled by one step of a Python worker; a longer single text is a step of its own.
@@ -30,13 +31,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loomtext-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder that driver and executors share; one of its own where a local session, as in tests, names none."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="loomtext-"))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -47,6 +51,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(held: DataFrame) -> None:
+    """Remove the files of a materialized table that nothing reads any more."""
+    spark = held.sparkSession
+    root = shared_dir(spark)
+    for folder in {f.rsplit("/", 1)[0] for f in held.inputFiles()}:
+        if root.split(":", 1)[-1].lstrip("/") in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key of more rows than this share of all is split; so there are at most this many such keys.
+HOT_KEYS, HOT_ROWS = 10_000, 10_000
+
+
+def join_split(rows: DataFrame, keyed: DataFrame, keys: list[str], spread: Column, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed`` (one row a key; ``n``: how many of ``rows`` have it), hot keys dealt over many tasks.
+
+    A key is hot above ``max(HOT_ROWS, total / HOT_KEYS)`` rows, so at most HOT_KEYS keys are: only they are broadcast,
+    with the number of parts that each is cut into by the hash of ``spread``.  ``keyed`` repeats a hot key once a part.
+    """
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    parts = F.ceil(F.col("n") / F.lit(most)).cast("int")
+    hot = keyed.where(F.col("n") > most).select(*keys, parts.alias("parts"))
+    cut = rows.join(F.broadcast(hot), keys, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("parts").cast("long")), F.lit(0)).cast("int")).drop("parts")
+    repeated = keyed.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop("n")
+    return cut.join(repeated, [*keys, "part"], how).drop("part")
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds at most ``limit`` bytes of ``text`` (or one row)."""
     for batch in batches:
@@ -99,6 +131,31 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words longer than this are hashed one by one.
+LANES = 4
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of ``data``: eight bytes at a time, mixed in between, so no texts are known to collide."""
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    if not len(sizes):
+        return out
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    for k in range(LANES):
+        more = slice(None) if not k else np.flatnonzero(sizes > 8 * k)
+        at, left = starts[more] + 8 * k, np.minimum(sizes[more] - 8 * k, 8)
+        if not len(at):
+            return out
+        lane = np.ascontiguousarray(eights[at]).view("<u8").ravel() & _MASKS[left]
+        out[more] = mix(out[more] ^ mix(lane + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)))
+    for i in np.flatnonzero(sizes > 8 * LANES).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
 def gram_hashes(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """64-bit hashes of all runs of ``n`` word hashes (crossing documents too: mask those)."""
     if len(words) < n:

@@ -3,7 +3,8 @@
 A document is a bag of passages of ``PASSAGE`` words.  A passage is encoded from its bytes' classes, one and two at a
 time, and its words (length, repetition within the passage and the document, capitals); an encoder, a gated
 attention over the passages and a logistic layer on their weighted sum are learned together from document
-labels.  All passages of a text count, however long.  Training takes about ``PER`` labelled documents of each label,
+labels.  All passages of a text count, however long; every feature is a share or a logarithm, so none runs out of
+range on texts of any shape.  Training takes about ``PER`` labelled documents of each label,
 chosen by a hash of their ids and weighted back to the labels' shares; the held-out fifth is never learned from.
 
 Null and empty texts are a bag of one empty passage and are scored like any other.  A label given twice is the lower.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import SPACES, held_out, span_hashes, steps, stratified, table, text_bytes, word_spans
+from loomtext.llm.common import SPACES, held_out, steps, stratified, table, text_bytes, word_hashes, word_spans
 
 PASSAGE, PER, MOST, THRESHOLD = 64, 1500, 4000, 0.3
 EMBED, GATE, EPOCHS, BATCH = 24, 16, 40, 64
@@ -57,7 +58,7 @@ def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     within = of_byte[1:] == of_byte[:-1]
     pair = np.bincount((of_byte[1:] * KINDS * KINDS + kinds[:-1] * KINDS + kinds[1:])[within], minlength=total * KINDS * KINDS).reshape(total, -1)
     words = np.maximum(np.bincount(word_bag, minlength=total), 1)
-    hashes = span_hashes(data, starts, ends)
+    hashes = word_hashes(data, starts, ends)
     fresh = lambda group: _first_seen(group, hashes)
     share = lambda flags: np.bincount(word_bag[flags], minlength=total) / words
     upper = np.concatenate(([0], np.cumsum(kinds == 0)))
@@ -65,7 +66,7 @@ def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     capital, small = upper[ends] - upper[starts], lower[ends] - lower[starts]
     size = np.maximum(sizes, 1)[:, None]
     extra = np.stack(
-        [np.bincount(word_bag, weights=ends - starts, minlength=total) / words / 10, share(fresh(word_bag)), share(fresh(row)), share((capital > 1) & (small == 0)), share((capital == 0) & (small > 0)), share(ends - starts <= 3), share(ends - starts >= 12), np.log1p(np.bincount(word_bag, minlength=total)) / 4],
+        [np.log1p(np.bincount(word_bag, weights=ends - starts, minlength=total) / words) / 3, share(fresh(word_bag)), share(fresh(row)), share((capital > 1) & (small == 0)), share((capital == 0) & (small > 0)), share(ends - starts <= 3), share(ends - starts >= 12), np.log1p(np.bincount(word_bag, minlength=total)) / 4],
         axis=1,
     )
     return np.concatenate((np.sqrt(one / size), np.sqrt(pair / size), extra), axis=1).astype(np.float32), bags

@@ -94,3 +94,39 @@ def test_gradients():
         down = loss()
         model.w[k][at] = kept
         assert grads[k][at] == pytest.approx((up - down) / (2 * h), rel=1e-2, abs=1e-5)
+
+
+def test_one_huge_word_leaves_scores_whole(spark, docs_of):
+    docs = docs_of(["a" * 1_000_000, *(f"some words of text {i}" for i in range(40))])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id bigint, quality int")
+    scores = [r["score"] for r in quality.score(docs.drop("score"), quality.train(docs, labels)).collect()]
+    assert len(scores) == 41 and all(0 <= s <= 1 for s in scores)
+
+
+def kernel(a, b):
+    """The share of hashed byte 1- to 3-grams of two texts of letters and spaces, in plain Python."""
+    grams = lambda t: {(n, int.from_bytes(t[k : k + n], "big") * 0x9E3779B1 % (1 << 32) >> 20) for n in (1, 2, 3) for k in range(len(t) - n + 1)}
+    x, y = grams(a.encode()), grams(b.encode())
+    return len(x & y) / (len(x) * len(y)) ** 0.5
+
+
+def test_kernel_against_plain_sets():
+    texts = ["the cat sat on the mat", "le chat est assis", "a", "der hund und die katze sind hier"]
+    rows = languages.presence(pa.array(texts))
+    assert np.allclose(rows @ rows.T, [[kernel(a, b) for b in texts] for a in texts], atol=1e-5)
+
+
+def test_landmarks_give_the_full_kernel_ridge():
+    """With every training text a landmark, the scores are those of kernel ridge regression solved on the whole kernel."""
+    texts, labels = ["one two three", "un deux trois", "two one", "deux un", "three two", "trois deux"], list("efefef")
+    model = languages.Model(texts, labels)
+    more = [*texts, *(s for _, s in languages.snippets(texts))]
+    y = np.array([labels[k] for k in [*range(6), *(k for k, _ in languages.snippets(texts))]])
+    whole = np.array([[kernel(a, b) for b in more] for a in more])
+    target = np.where(y[:, None] == np.array(["e", "f"]), 1.0, -1.0)
+    weight = (len(y) / (2 * np.array([(y == c).sum() for c in y])))[:, None]
+    alpha = np.linalg.solve(weight * whole + languages.RIDGE * len(y) / languages.LANDMARKS * np.eye(len(y)), weight * target)
+    probe = ["two three", "deux trois", "trois un"]
+    want = np.array([[kernel(a, b) for b in more] for a in probe]) @ alpha
+    got = languages.presence(pa.array(probe)) @ model.landmarks.T @ model.weights
+    assert np.allclose(got, want, atol=0.02) and (got.argmax(axis=1) == [0, 1, 1]).all()

@@ -2,9 +2,15 @@
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.  A window is ten consecutive words of
 an item (a shorter item is one window).  Both sides keep the least of each six consecutive 5-gram hashes, so any
-shared window shares a kept hash; the kept hashes are joined, and each hit is extended along its diagonal on the
-words themselves, so a hit needs equal words, not equal hashes.  Items shorter than a window are winnowed at their own
-length.  The join is left to Spark, which broadcasts the benchmark's hashes only when it finds them small.
+shared window shares a kept hash.  The distinct kept hashes of documents and benchmark are joined; documents that share
+one are read again, and each of their kept grams is joined with the benchmark's by its hash and extended on the words
+around it, at most to the length of a window on either side.  A hit is an extension of a window's length or more, so it
+needs equal words, not equal hashes, and the hits of a document are the union of its extensions.  Grams with the same
+words around them are one row on either side, so repeated words cost no product of places.
+
+Nothing is gathered but a document's own kept hashes and hits, and its items.  Neither join needs the benchmark to be
+small: Spark broadcasts its hashes only when it finds them small; otherwise they meet by hash, with the documents dealt
+over ``SALTS`` parts of each hash, as one passage may stand in many documents.
 
 Null texts have no words: no hits, not contaminated.  Repeated rows and ids each get their own row.  Items with no
 words, and an empty benchmark, hit nothing.
@@ -14,14 +20,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import ALNUM, LOWER, gram_hashes, span_hashes, steps, table, text_bytes, word_spans
+from loomtext.llm.common import ALNUM, LOWER, gram_hashes, steps, table, text_bytes, word_hashes, word_spans
 
-WINDOW, GRAM = 10, 5
-_PRINTS = pa.schema([("key", pa.int64()), ("twin", pa.int64()), ("length", pa.int32()), ("hash", pa.int64()), ("position", pa.int64())])
-PRINTS = "key bigint, twin bigint, length int, hash bigint, position bigint"
+WINDOW, GRAM, SALTS = 10, 5, 8
 
 
 def winnow(hashes: np.ndarray, owner: np.ndarray, w: int) -> np.ndarray:
@@ -49,107 +53,175 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return (data, *word_spans(data, offsets, ALNUM))
 
 
-def _prints(lengths: list[int] | None, only_length: bool = False):
-    """Fingerprints for windows of each length; ``only_length``: each row at its own window length."""
+class _Kept:
+    """The kept grams of a batch of texts, for one length of window at a time."""
+
+    def __init__(self, column: pa.Array):
+        self.data, self.starts, self.ends, self.row = words_of(column)
+        self.hashes = word_hashes(self.data, self.starts, self.ends)
+        self.count = np.bincount(self.row, minlength=len(column))
+        self.first = np.searchsorted(self.row, np.arange(len(column)))
+
+    def grams(self, length: int, own_length: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place among all words, hash); ``own_length``: only of texts whose windows have this length."""
+        gram = min(GRAM, length)
+        hashes = gram_hashes(self.hashes, gram)
+        owner = self.row[: len(hashes)].copy()
+        owner[self.row[: len(hashes)] != self.row[gram - 1 :]] = -1  # crosses rows
+        if own_length:
+            owner[np.minimum(self.count, WINDOW)[self.row[: len(hashes)]] != length] = -1
+        at = winnow(hashes, owner, length - gram + 1)
+        return owner[at], at, hashes[at]
+
+    def around(self, row: int, at: int, length: int) -> tuple[str, int]:
+        """The words up to a window's length on either side of a gram, one space apart, and those before the gram."""
+        low = max(int(self.first[row]), at - (length - min(GRAM, length)))
+        high = min(int(self.first[row] + self.count[row]), at + length)
+        words = zip(self.starts[low:high].tolist(), self.ends[low:high].tolist(), strict=True)
+        return b" ".join([self.data[a:b].tobytes() for a, b in words]).decode("utf-8", "surrogateescape"), at - low
+
+
+PRINTS = "key bigint, twin bigint, length int, hash bigint"
+_PRINTS = pa.schema([("key", pa.int64()), ("twin", pa.int64()), ("length", pa.int32()), ("hash", pa.int64())])
+
+
+def _prints(lengths: list[int]):
+    """The distinct kept hashes of each document, for windows of each length that the benchmark has."""
 
     def run(batches):
         for batch in steps(batches):
-            data, starts, ends, row = words_of(batch.column("text"))
-            hashes, first = span_hashes(data, starts, ends), np.searchsorted(row, np.arange(len(batch)))
-            count = np.bincount(row, minlength=len(batch))
+            kept = _Kept(batch.column("text"))
             keys, twins = (np.asarray(batch.column(k)) for k in ("key", "twin"))
-            for length in lengths or range(1, WINDOW + 1):
-                gram = min(GRAM, length)
-                grams = gram_hashes(hashes, gram)
-                owner = row[: len(grams)].copy()
-                owner[row[: len(grams)] != row[gram - 1 :]] = -1  # crosses rows
-                if only_length:
-                    owner[np.minimum(count, WINDOW)[row[: len(grams)]] != length] = -1
-                at = winnow(grams, owner, length - gram + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[owner[at]]), pa.array(twins[owner[at]]), pa.array(np.full(len(at), length, np.int32)), pa.array(grams[at].view(np.int64)), pa.array((at - first[owner[at]]).astype(np.int64))], schema=_PRINTS)
+            for length in lengths:
+                row, _, hashes = kept.grams(length)
+                order = np.lexsort((hashes, row))
+                row, hashes = row[order], hashes[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+                row, hashes = row[new], hashes[new]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array(twins[row]), pa.array(np.full(len(row), length, np.int32)), pa.array(hashes.view(np.int64))], schema=_PRINTS)
 
     return run
 
 
-RESULT = "doc_id bigint, n_words bigint, n_hit bigint, items array<bigint>, contaminated boolean"
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("contaminated", pa.bool_())])
+ITEMS = "item_id bigint, length int, hash bigint, theirs string, before int"
+_ITEMS = pa.schema([("item_id", pa.int64()), ("length", pa.int32()), ("hash", pa.int64()), ("theirs", pa.string()), ("before", pa.int32())])
 
 
-def _word_list(text: str | None) -> list[bytes]:
-    column = pa.array([text], pa.string())
-    data, starts, ends, _ = words_of(column)
-    raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+def _item_grams(batches):
+    for batch in steps(batches):
+        kept, names = _Kept(batch.column("text")), batch.column("item_id").to_pylist()
+        for length in range(1, WINDOW + 1):
+            found = {(names[r], h, *kept.around(r, a, length)) for r, a, h in zip(*(x.tolist() for x in kept.grams(length, True)), strict=True)}
+            if found:
+                item, hashes, words, before = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array([length] * len(item), pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(words), pa.array(before, pa.int32())], schema=_ITEMS)
 
 
-def extend(words: list[bytes], hits: list[dict]) -> tuple[np.ndarray, list]:
-    """Hit words and item ids: ``hits`` give an item's text and a diagonal (document less item position)."""
-    hit, items, split = np.zeros(len(words), bool), set(), {}
-    for h in hits:
-        if h["text"] not in split:
-            split[h["text"]] = _word_list(h["text"])
-        item = split[h["text"]]
-        need, shift = min(WINDOW, len(item)), h["shift"]
-        run = 0
-        for k in range(max(0, -shift), min(len(item), len(words) - shift) + 1):
-            if k < min(len(item), len(words) - shift) and item[k] == words[k + shift]:
-                run += 1
-                continue
-            if run >= need:
-                hit[k + shift - run : k + shift] = True
-                items.add(h["item_id"])
-            run = 0
-    return hit, sorted(items, key=lambda x: (x is not None, x))
+PLACED = "key bigint, twin bigint, length int, hash bigint, ours string, ahead int, places array<int>"
+_PLACED = pa.schema([("key", pa.int64()), ("twin", pa.int64()), ("length", pa.int32()), ("hash", pa.int64()), ("ours", pa.string()), ("ahead", pa.int32()), ("places", pa.list_(pa.int32()))])
 
 
-def _extended(batches):
+def _placed(batches):
+    """The kept grams whose hash the benchmark has, with the words around them and all places that look so."""
     for batch in steps(batches):
-        data, starts, ends, row = words_of(batch.column("text"))
-        count = np.bincount(row, minlength=len(batch))
-        hits = batch.column(batch.schema.get_field_index("hits")).to_pylist()
-        n_hit, items, first, raw = np.zeros(len(batch), np.int64), [[] for _ in hits], np.searchsorted(row, np.arange(len(batch))), None
-        for k, own in enumerate(hits):
-            if own:
-                raw = raw or data.tobytes()
-                span = slice(int(first[k]), int(first[k] + count[k]))
-                hit, items[k] = extend([raw[a:b] for a, b in zip(starts[span].tolist(), ends[span].tolist(), strict=True)], own)
-                n_hit[k] = hit.sum()
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(n_hit), pa.array(items, pa.list_(pa.int64())), pa.array(n_hit > 0)], schema=_RESULT)
-
-
-def _with_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """row (the document), text and hits (null: none)."""
-    # a document's key is its id and a hash of its text: rows that agree in both have the same hits
-    keyed = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(0)).alias("key"), F.xxhash64("text", F.col("doc_id").isNull()).alias("twin"))
-    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    items = items.select("item_id", "text", F.coalesce("item_id", F.lit(0)).alias("key"), F.xxhash64("text", F.col("item_id").isNull()).alias("twin"))
-    ours = items.select("key", "twin", "text").mapInArrow(_prints(None, True), PRINTS)
-    lengths = sorted(r[0] for r in ours.select("length").distinct().collect())  # ten values at most
-    if not lengths:
-        return keyed.select("row", "text", F.lit(None).cast("array<struct<item_id:bigint,shift:bigint,text:string>>").alias("hits"))
-    prints = keyed.select("key", "twin", "text").mapInArrow(_prints(lengths), PRINTS)
-    theirs = ours.select(F.col("key").alias("item"), F.col("twin").alias("item_twin"), "length", "hash", F.col("position").alias("at")).distinct()
-    found = prints.join(theirs, ["length", "hash"]).select("key", "twin", "item", "item_twin", (F.col("position") - F.col("at")).alias("shift")).distinct()
-    names = items.select("item_id", "text", F.col("key").alias("item"), F.col("twin").alias("item_twin"))
-    hits = found.join(names, ["item", "item_twin"]).groupBy("key", "twin").agg(F.collect_list(F.struct("item_id", "shift", "text")).alias("hits"))
-    return keyed.join(hits, ["key", "twin"], "left").select("row", "text", "hits")
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, the ids of items with an occurring window, contaminated."""
-    return _with_hits(docs.select("doc_id", "text"), benchmark).select("row.doc_id", "text", "hits").mapInArrow(_extended, RESULT)
+        kept, out = _Kept(batch.column("text")), []
+        keys, twins, wanted = (batch.column(k).to_pylist() for k in ("key", "twin", "shared"))
+        wanted = [{(w["length"], w["hash"]) for w in own} for own in wanted]
+        for length in sorted({n for own in wanted for n, _ in own}):
+            row, at, hashes = kept.grams(length)
+            found: dict[tuple, list[int]] = {}
+            for r, a, h in zip(row.tolist(), at.tolist(), hashes.view(np.int64).tolist(), strict=True):
+                if (length, h) in wanted[r]:
+                    found.setdefault((r, h, *kept.around(r, a, length)), []).append(a - int(kept.first[r]))
+            out += [(keys[r], twins[r], length, h, words, ahead, places) for (r, h, words, ahead), places in found.items()]
+            while len(out) >= 1024:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out[:1024], strict=True), _PLACED, strict=True)], schema=_PLACED)
+                out = out[1024:]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _PLACED, strict=True)], schema=_PLACED)
+
+
+def extend(ours: list[str], ahead: int, theirs: list[str], before: int, length: int) -> tuple[int, int] | None:
+    """(words before the gram, words from it on) that agree, if they make up a window; the gram stands after ``ahead`` words."""
+    right, most = 0, min(len(ours) - ahead, len(theirs) - before)
+    while right < most and ours[ahead + right] == theirs[before + right]:
+        right += 1
+    if right < min(GRAM, length):
+        return None
+    left = 0
+    while left < min(ahead, before) and ours[ahead - left - 1] == theirs[before - left - 1]:
+        left += 1
+    return (left, right) if left + right >= length else None
+
+
+HITS = "key bigint, twin bigint, item_id bigint, start int, stop int"
+_HITS = pa.schema([("key", pa.int64()), ("twin", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated ones."""
+def _extended(batches):
+    for batch in batches:
+        out, columns = [], {k: batch.column(k).to_pylist() for k in batch.schema.names}
+        for key, twin, length, ours, ahead, places, item, theirs, before in zip(*(columns[k] for k in ("key", "twin", "length", "ours", "ahead", "places", "item_id", "theirs", "before")), strict=True):
+            if reach := extend(ours.split(" "), ahead, theirs.split(" "), before, length):
+                out += [(key, twin, item, p - reach[0], p + reach[1]) for p in places]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _HITS, strict=True)], schema=_HITS)
 
-    @F.pandas_udf("boolean")
-    def hit(texts, hits):
-        return type(texts)([bool(extend(_word_list(t), h)[1]) if h is not None and len(h) else False for t, h in zip(texts, hits, strict=True)])
 
-    found = _with_hits(docs, benchmark)
-    text = F.when(F.col("hits").isNotNull(), F.col("text")).otherwise("")
-    return found.where(~hit(text, F.col("hits"))).select("row.*")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """A document's key is its id and a hash of its text: rows that agree in both have the same hits."""
+    return docs.select(F.coalesce("doc_id", F.lit(0)).alias("key"), F.xxhash64("text", F.col("doc_id").isNull()).alias("twin"), F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _dealt(rows: DataFrame, theirs: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``salt``: a hash of many documents is dealt over ``salts`` parts, each with a copy of the benchmark's."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64("key", "twin"), F.lit(salts)).cast("int")), theirs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+def _hits(keyed: DataFrame, benchmark: DataFrame, salts: int) -> DataFrame:
+    """(key, twin, item_id, start, stop): the extensions, in words of the document."""
+    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().mapInArrow(_item_grams, ITEMS).distinct()
+    lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # ten values at most
+    keyed = keyed.select("key", "twin", "text")
+    prints, known = _dealt(keyed.mapInArrow(_prints(lengths), PRINTS), items.select("length", "hash").distinct(), salts)
+    shared = prints.join(known, ["length", "hash", "salt"], "left_semi")
+    shared = shared.groupBy("key", "twin").agg(F.collect_set(F.struct("length", "hash")).alias("shared"))
+    placed, theirs = _dealt(keyed.join(shared, ["key", "twin"]).mapInArrow(_placed, PLACED), items, salts)
+    return placed.join(theirs, ["length", "hash", "salt"]).drop("hash", "salt").mapInArrow(_extended, HITS)
+
+
+def covered(spans: Column) -> Column:
+    """How many places an array of (start, stop) covers."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach"))
+    step = lambda a, s: F.struct((a["n"] + F.greatest(s["stop"] - F.greatest(s["start"], a["reach"]), F.lit(0))).alias("n"), F.greatest(a["reach"], s["stop"]).alias("reach"))
+    return F.aggregate(F.array_sort(spans), start, step, lambda a: a["n"].cast("long"))
+
+
+def _counted(batches):
+    for batch in steps(batches):
+        row = words_of(batch.column("text"))[-1]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "key", "twin")), pa.array(np.bincount(row, minlength=len(batch)).astype(np.int64))], ["doc_id", "key", "twin", "n_words"])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, the ids of items with an occurring window, contaminated."""
+    keyed = _keyed(docs.select("doc_id", "text"))
+    found = _hits(keyed, benchmark, salts).groupBy("key", "twin").agg(
+        covered(F.collect_set(F.struct("start", "stop"))).alias("n_hit"),
+        # an item without an id counts too, after all others
+        F.collect_set(F.struct(F.col("item_id").isNull().alias("none"), "item_id")).alias("items"),
+    )
+    counted = keyed.select("row.doc_id", "key", "twin", "text").mapInArrow(_counted, "doc_id bigint, key bigint, twin bigint, n_words bigint")
+    names = F.transform(F.array_sort("items"), lambda x: x["item_id"])
+    none = F.array().cast("array<bigint>")
+    return counted.join(found, ["key", "twin"], "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(names, none).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, salts: int = SALTS) -> DataFrame:
+    """``docs`` without the contaminated ones."""
+    keyed = _keyed(docs)
+    return keyed.join(_hits(keyed, benchmark, salts).select("key", "twin").distinct(), ["key", "twin"], "left_anti").select("row.*")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,3 +107,27 @@ def test_warc_notices_damage(spark):
     bad = chunks.withColumn("body", F.encode(F.translate(F.decode("body", "UTF-8"), "c", "d"), "UTF-8"))
     with pytest.raises(Exception, match="digest|KeyError"):
         warc.read(bad).collect()
+
+
+def test_decontamination_of_repeated_words(spark, docs_of):
+    docs = docs_of(["w " * 8000, "w " * 9, "x " + "w " * 30 + "x", "v w " * 40])
+    bench = spark.createDataFrame([(7, "w " * 3000), (8, "z"), (None, "w " * 30 + "x")], "item_id bigint, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(docs, bench).collect())
+    assert got == [(0, 8000, 8000, [7, None]), (1, 9, 0, []), (2, 32, 31, [7, None]), (3, 80, 0, [])]
+
+
+def test_hashes_of_words_tell_long_ones_apart():
+    import numpy as np
+
+    from loomtext.llm.common import word_hashes
+
+    a, b = "ab", "ba"  # Thue-Morse words collide in any polynomial hash modulo a power of two
+    for _ in range(10):
+        a, b = a + b, b + a
+    words = [a, b, "", "\0", "\0\0", "x" * 8, "x" * 9, "x" * 32, "x" * 33, *(chr(97 + k % 26) * (k % 70) + str(k) for k in range(3000))]
+    raw = [w.encode() for w in words]
+    ends = np.cumsum([len(w) for w in raw])
+    hashes = word_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - [len(w) for w in raw], ends)
+    assert len(set(hashes.tolist())) == len(words)
+    again = word_hashes(np.frombuffer(b"?" + b"x" * 8, np.uint8), np.array([1]), np.array([9]))
+    assert again[0] == hashes[5]

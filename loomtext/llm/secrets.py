@@ -1,14 +1,15 @@
 """Secret scans over texts and the layers encoded in them.
 
 A worklist starts with the text.  Each layer is scanned, then unwrapped: percent codes, Unicode escapes and
-character references are decoded in place (so that a secret may begin before one and end after it); base64 runs,
+character references are decoded in place (so that a secret may begin before one and end after it), a kind at a time and
+once, and all kinds until no code is left, codes of codes too, in one pass over the layer; base64 runs,
 joined over line ends and read from each of the four places a group of letters may start at, become layers of their
 own, and so do compressed payloads anywhere in them (gzip, zlib, bz2, xz, zstandard).  Each decoded character keeps the
 span of the original text it came from (an unpacked one: of its payload), so a finding in any layer maps to a span of
 the text.
 Layers already seen are not entered again, so the work ends at a fixpoint.
 
-Null and empty texts have no spans.  All members, streams and frames of a payload are read, a damaged one as far as it
+Null and empty texts have no spans.  A column of the input with the name of the result's is replaced.  All members, streams and frames of a payload are read, a damaged one as far as it
 goes.  An unpacked layer over ``MOST_BYTES`` (a parameter) is read as a stream of windows of that size that overlap by
 a quarter, so memory stays bounded; a layer encoded within it is cut if it crosses a window's end by more than that.
 """
@@ -75,8 +76,9 @@ _JOINT = re.compile(rf"(?<={_LETTERS}){_LINE}(?={_LETTERS})")
 _RUN, _RUNS = re.compile(_LETTERS + "{16,}"), re.compile(rf"(?<!{_LETTERS}){_LETTERS}++(?:{_LINE}{_LETTERS}++)*+")
 _LINES = re.compile(_LINE)
 _STANDARD = str.maketrans("-_", "+/")
-#: Holds whenever bytes may have a secret or a layer.
-_WORTH = re.compile(rb"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_\\\s>-]{16}")
+#: Hold whenever bytes may have a secret or a layer.
+_NAMES, _MARKS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"), (b"AKIA", b"%", b"\\", b"&#")
+_WORTH = re.compile(rb"[0-9a-f]{24}|[A-Za-z0-9+/_\\\s>-]{16}")
 #: The first bytes of gzip, zlib, bz2, xz and zstandard payloads.
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
 _MARKED = re.compile(_MAGIC.pattern.decode("latin-1"))
@@ -116,6 +118,104 @@ def _escape(m: re.Match) -> list[tuple[str, int, int]]:
     return [(chr(code), 0, len(s))]
 
 
+_CODE = re.compile(
+    r"%(?P<p>[0-9A-Fa-f]{2})|\\x(?P<x>[0-9A-Fa-f]{2})|\\u(?P<u>[0-9A-Fa-f]{4})|\\u\{(?P<b>[0-9A-Fa-f]{1,6})\}|\\U(?P<l>[0-9A-Fa-f]{8})|&#(?P<d>[0-9]{1,7});|&#[xX](?P<h>[0-9A-Fa-f]{1,6});"
+)
+#: The longest code but one character, and the characters that a code may hold.
+_REACH, _CODED, _OPENS = 9, frozenset("0123456789abcdefABCDEFxXuU{};&#%\\"), frozenset("%\\&")
+
+
+def _value(m: re.Match) -> str | int | None:
+    """The character of a code, the number of a byte's code beyond ASCII, or None for no character."""
+    kind = m.lastgroup
+    n = int(m[kind], 10 if kind == "d" else 16)
+    if kind in "px":
+        return chr(n) if n < 0x80 else n
+    return chr(n) if n <= 0x10FFFF else None
+
+
+class _Rewritten:
+    """A layer with all its codes decoded, and those that decoded characters make with their neighbours, till none is left.
+
+    ``held``: stretches of the layer as they are (None) and decoded characters or bytes, with the places they came from.
+    A decoded character is looked at with the ``_REACH`` characters on either side, and each code found there shortens
+    the text, so the time is in proportion to the layer however deep its codes are nested.
+    """
+
+    def __init__(self, layer: str):
+        self.layer, self.held = layer, []
+        at = past = 0
+        while m := _CODE.search(layer, past):
+            value, low, high = _value(m), m.start(), m.end()
+            if value is None:
+                past = low + 1
+                continue
+            if low > at:
+                self.held.append((at, low, None))
+            at = high
+            while isinstance(value, str) and value in _CODED:
+                before = self._before()
+                if value not in _OPENS and not _OPENS.intersection(before):
+                    break
+                near, p = before + value + layer[at : at + _REACH], len(before)
+                found = next((x for q in range(p + 1) if near[q] in _OPENS and (x := _CODE.match(near, q)) and x.end() > p and _value(x) is not None), None)
+                if found is None:
+                    break
+                low = min(low, self._drop(p - found.start(), low))
+                at += found.end() - p - 1
+                value, high = _value(found), max(high, at)
+            self.held.append((low, high, value))
+            past = at
+        if at < len(layer):
+            self.held.append((at, len(layer), None))
+
+    def _before(self) -> str:
+        parts, left = [], _REACH
+        for low, high, value in reversed(self.held):
+            part = self.layer[max(low, high - left) : high] if value is None else value if isinstance(value, str) else "\0"
+            parts.append(part)
+            if (left := left - len(part)) <= 0:
+                break
+        return "".join(reversed(parts))
+
+    def _drop(self, n: int, low: int) -> int:
+        """Takes the last ``n`` characters away and tells where they began."""
+        while n:
+            low, high, value = self.held.pop()
+            if value is not None:
+                n -= 1
+            elif high - low > n:
+                self.held.append((low, high - n, None))
+                return high - n
+            else:
+                n -= high - low
+        return low
+
+    def parts(self) -> Iterator[tuple[int, int, str | None]]:
+        """The stretches and characters, with the bytes beyond ASCII joined as UTF-8 (else as Latin-1), and surrogates in pairs."""
+        held, k = self.held, 0
+        while k < len(held):
+            low, high, value = held[k]
+            if isinstance(value, int):
+                end = k
+                while end < len(held) and isinstance(held[end][2], int):
+                    end += 1
+                text, at = _lossy(bytes(v for _, _, v in held[k:end]))
+                for c, a, b in zip(text, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    yield held[k + a][0], held[k + b - 1][1], c
+                k = end
+                continue
+            if value and "\ud800" <= value < "\ue000":
+                after = held[k + 1][2] if k + 1 < len(held) else None
+                if value < "\udc00" and isinstance(after, str) and "\udc00" <= after < "\ue000":
+                    yield low, held[k + 1][1], (value + after).encode("utf-16-be", "surrogatepass").decode("utf-16-be")
+                    k += 2
+                    continue
+                value = None
+            yield low, high, value
+            k += 1
+
+
 class _Source:
     """Bytes, from a place on or from pieces, taken block by block; what was not used is given back."""
 
@@ -220,6 +320,11 @@ def _payloads(raw: bytes) -> Iterator[tuple[int, int]]:
             yield m.start(), source.at if source.whole else len(raw)
 
 
+def _worth(raw: bytes) -> bool:
+    low = raw.lower()
+    return any(x in low for x in _NAMES) or any(x in raw for x in _MARKS) or _WORTH.search(raw) is not None
+
+
 def _lossy(raw: bytes, latin: bool = True) -> tuple[str, np.ndarray]:
     """Text of any bytes (those that are not UTF-8 as Latin-1, or as lone surrogates), and the first byte of each character and the end."""
     text = raw.decode("utf-8", "surrogateescape")
@@ -232,7 +337,7 @@ def _lossy(raw: bytes, latin: bool = True) -> tuple[str, np.ndarray]:
 def _letters(layer: str) -> Iterator[tuple[str, re.Match]]:
     """The letters of each base64 run, without line ends, and the run."""
     for m in (_RUNS if _JOINT.search(layer) else _RUN).finditer(layer):
-        if len(run := _LINES.sub("", m[0])) >= 16:
+        if len(m[0]) >= 16 and len(run := _LINES.sub("", m[0])) >= 16:
             yield run.translate(_STANDARD), m
 
 
@@ -287,12 +392,24 @@ def spans(text: str, base: set | None = None) -> list[tuple[int, int, str]]:
     """All spans of the text's secrets, in any layer, in code points."""
     found = set(scan(text) if base is None else base)
     start = np.arange(len(text))
-    work, seen = [(text, start, start + 1)], {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
+    work, seen = [(text, start, start + 1, True)], {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
 
-    def enter(layer: str, starts, ends) -> None:
+    def enter(layer: str, starts, ends, fresh: bool = True) -> None:
         if (key := hashlib.sha256(layer.encode("utf-8", "surrogatepass") + bytes(f"@{starts[0]}" if len(starts) else "", "ascii")).digest()) not in seen:
             seen.add(key)
-            work.append((layer, starts, ends))
+            work.append((layer, starts, ends, fresh))
+
+    def put(layer: str, parts: list, starts, ends) -> None:
+        """Enters a layer with some of its characters replaced."""
+        inner = "".join([layer[a:b] if c is None else c for a, b, c in parts])
+        if not starts.strides[0]:
+            return enter(inner, np.broadcast_to(starts[0], len(inner)), np.broadcast_to(ends[0], len(inner)), False)
+        low, high = np.array([a for a, _, _ in parts]), np.array([b for _, b, _ in parts])
+        size = np.array([b - a if c is None else 1 for a, b, c in parts])
+        own = np.repeat(np.arange(len(parts)), size)
+        step = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+        kept = np.array([c is None for _, _, c in parts])[own]
+        enter(inner, starts[low[own] + step * kept], ends[np.where(kept, low[own] + step, high[own] - 1)], False)
 
     def inside(raw: bytes, a: int, low: int, high: int):
         return ((window, low, high) for window in _windows(raw, a))
@@ -304,30 +421,25 @@ def spans(text: str, base: set | None = None) -> list[tuple[int, int, str]]:
                 continue
             raw, low, high = piece
             work += [inside(raw, a, low, high) for a, _ in _payloads(raw)]
-            if _WORTH.search(raw):
+            if _worth(raw):
                 inner = raw.decode("utf-8", "surrogateescape")
                 enter(inner, np.broadcast_to(low, len(inner)), np.broadcast_to(high, len(inner)))
             continue
-        layer, starts, ends = work.pop()
+        layer, starts, ends, fresh = work.pop()
         #: An unpacked layer has one span, and no map of its characters.
         flat = not starts.strides[0]
         for a, b, kind in scan(layer) if layer is not text else ():
             found.add((int(starts[a:b].min()), int(ends[a:b].max()), kind))
-        for pattern, decoded in ((_PERCENT, _percent), (_ESCAPE, _escape)):
-            parts, at, s, e = [], 0, [], []
-            for m in pattern.finditer(layer):
-                chars = decoded(m)
-                parts += [layer[at : m.start()], "".join(c for c, _, _ in chars)]
-                if not flat:
-                    s += [starts[at : m.start()], np.array([starts[m.start() + a] for _, a, _ in chars])]
-                    e += [ends[at : m.start()], np.array([ends[m.start() + b - 1] for _, _, b in chars])]
-                at = m.end()
-            if parts:
-                inner = "".join([*parts, layer[at:]])
-                if flat:
-                    enter(inner, np.broadcast_to(starts[0], len(inner)), np.broadcast_to(ends[0], len(inner)))
-                else:
-                    enter(inner, np.concatenate([*s, starts[at:]]), np.concatenate([*e, ends[at:]]))
+        if fresh:
+            for pattern, decoded in ((_PERCENT, _percent), (_ESCAPE, _escape)):
+                parts, at = [], 0
+                for m in pattern.finditer(layer):
+                    parts += [(at, m.start(), None), *((m.start() + a, m.start() + b, c) for c, a, b in decoded(m))]
+                    at = m.end()
+                if parts:
+                    put(layer, [*parts, (at, len(layer), None)], starts, ends)
+            if _CODE.search(layer):
+                put(layer, list(_Rewritten(layer).parts()), starts, ends)
         for run, letters in _letters(layer):
             for raw, k in _opened(run):
                 if flat:
@@ -338,7 +450,7 @@ def spans(text: str, base: set | None = None) -> list[tuple[int, int, str]]:
                     own = _places(letters)[k:] if own is None else own
                     around = own[a * 4 // 3 : (b * 4 - 1) // 3 + 1]
                     work.append(inside(raw, a, int(starts[around].min()), int(ends[around].max())))
-                if _WORTH.search(raw):
+                if _worth(raw):
                     own = _places(letters)[k:] if own is None else own
                     inner, at = _lossy(raw)
                     enter(inner, starts[own[at[:-1] * 4 // 3]], ends[own[(at[1:] * 4 - 1) // 3]])
@@ -359,8 +471,8 @@ SPAN = "array<struct<start:bigint,end:bigint,kind:string,layer:boolean>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("layer", pa.bool_())]))
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``spans``: each secret's place in the whole text; ``layer``: seen in a decoded layer only."""
+def find(docs: DataFrame, text: str = "text", into: str = "spans") -> DataFrame:
+    """``docs`` with ``into``: each secret's place in the whole text; ``layer``: seen in a decoded layer only."""
     from loomtext.llm.bpe import _append, _appended
 
     def run(batches):
@@ -371,12 +483,12 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
                 whole = column[k].as_py()
                 base = set(scan(whole))
                 out[k] = [{"start": a, "end": b, "kind": kind, "layer": (a, b, kind) not in base} for a, b, kind in spans(whole, base)]
-            yield _append(batch, "spans", pa.array(out, _SPANS))
+            yield _append(batch, into, pa.array(out, _SPANS))
 
-    return docs.mapInArrow(run, _appended(docs, "spans", SPAN))
+    return docs.mapInArrow(run, _appended(docs, into, SPAN))
 
 
-def redacted(found: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
+def redacted(found: DataFrame, text: str = "text", mark: str = "[secret]", spans: str = "spans") -> DataFrame:
     """``found`` with every span of its texts replaced by ``mark`` (overlapping spans as one) and without ``spans``."""
 
     @F.pandas_udf("string")
@@ -394,7 +506,7 @@ def redacted(found: DataFrame, text: str = "text", mark: str = "[secret]") -> Da
             out.append("".join([*parts, whole[at:]]))
         return type(texts)(out, index=texts.index, dtype=object)
 
-    return found.withColumn(text, cut(text, "spans")).drop("spans")
+    return found.withColumn(text, cut(F.col(f"`{text}`"), F.col(f"`{spans}`"))).drop(spans)
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,14 @@ Every document's non-overlapping blocks of 25 words are indexed and probed with
 shared window of 50 words holds a whole block of either document, aligned with a rolling window of the other.  Blocks
 and windows meet by the least hash of their 8-word grams; as neighbouring windows mostly share it, runs of them are
 one row.  Runs whose key stands in two different texts, once in a block at least, are anchors.  Where anchors
-cover all rolling windows of 50 words, these are hashed (128 bits) and the smallest document of each hash decides; the
-windows that stand elsewhere first make up the maximal exact repeats.  No pairs of documents are formed, so a passage
-in a third of all rows costs one row for each place it stands.  Exact copies of a text of smaller id go at once.
+reach over all rolling windows of 50 words, the hit is extended: the bytes of the 50 words are digested (BLAKE2, 128 bits), one row
+for each digest of a document however often it stands there, and the smallest document of each digest decides.
+Windows in a row that stand first in the same document are joined to a maximal exact repeat (``repeats``).  No pairs of
+documents are formed, so a passage in a third of all rows costs one row for each document it stands in, and the joins by
+key and by digest cut such hot ones into parts.  Exact copies of a text of smaller id go at once, as one repeat.
 
 Null and empty texts have no words.  Rows with the same id never remove each other's words; a null id counts as larger
-than all others.  Equality of windows is that of their 128-bit hashes, of texts that of length and 96 bits of hash.
+than all others.  Equality of windows is that of their digests, of texts that of SHA-256.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import SPACES, gram_hashes, materialize, span_hashes, steps, table, text_bytes, word_spans
+from loomtext.llm.common import SPACES, gram_hashes, join_split, materialize, steps, table, text_bytes, word_hashes, word_spans
 
 WINDOW, BLOCK, GRAM = 50, 25, 8
 LAST = (1 << 63) - 1
@@ -35,13 +37,14 @@ _RUNS = pa.schema([("did", pa.int64()), ("twin", pa.int64()), ("key", pa.int64()
 def _words(column: pa.Array):
     data, offsets = text_bytes(column)
     starts, ends, row = word_spans(data, offsets, SPACES)
-    return data, offsets, starts, ends, row, span_hashes(data, starts, ends)
+    return data, offsets, starts, ends, row
 
 
 def _runs(batches):
     """Rolling windows of ``BLOCK`` words by their keys, runs of equal keys as one row."""
     for batch in steps(batches):
-        _, _, _, _, row, hashes = _words(batch.column("text"))
+        data, _, starts, ends, row = _words(batch.column("text"))
+        hashes = word_hashes(data, starts, ends)
         grams = gram_hashes(hashes, GRAM)
         n = len(hashes) - BLOCK + 1
         if n < 1:
@@ -78,10 +81,11 @@ def candidates(n_words: int, runs: np.ndarray) -> np.ndarray:
     return np.flatnonzero((shared[width : width + n] - shared[:n] == width) & (anchored[width : width + n] > anchored[:n]))
 
 
-RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, removed array<struct<start:bigint,end:bigint>>"
+RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, removed array<struct<start:bigint,end:bigint>>, repeats array<struct<start:bigint,end:bigint,first:bigint>>"
 STATE = f"{RESULT}, did bigint, twin bigint, text string, starts binary"
 _RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_RESULT = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", _RANGES)]
+_REPEATS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first", pa.int64())]))
+_RESULT = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", _RANGES), ("repeats", _REPEATS)]
 _STATE = pa.schema([*_RESULT, ("did", pa.int64()), ("twin", pa.int64()), ("text", pa.string()), ("starts", pa.binary())])
 
 
@@ -112,18 +116,28 @@ def _kept(batch, data, offsets, starts, ends, row, removed: np.ndarray) -> list[
     return [batch.column("doc_id"), pa.array(np.bincount(row, minlength=n)), pa.array(np.bincount(row[removed], minlength=n)), pa.array(digests), pa.array(ranges, _RANGES)]
 
 
+def repeats_of(places: np.ndarray, first: np.ndarray) -> list[dict]:
+    """Windows in a row that stand first in the same document, joined to maximal repeats."""
+    order = np.argsort(places, kind="stable")
+    places, first = places[order], first[order]
+    cut = np.flatnonzero(np.concatenate(([True], (np.diff(places) != 1) | (np.diff(first) != 0))))
+    last = np.append(cut[1:], len(places)) - 1
+    return [{"start": a, "end": b + WINDOW, "first": d} for a, b, d in zip(places[cut].tolist(), places[last].tolist(), first[cut].tolist(), strict=True)]
+
+
 def _settled(batches):
     """Copies and documents with no candidates get their result; the others wait with the starts of their windows."""
     for batch in steps(batches):
-        data, offsets, starts, ends, row, _ = _words(batch.column("text"))
+        data, offsets, starts, ends, row = _words(batch.column("text"))
         count, first = np.bincount(row, minlength=len(batch)), np.searchsorted(row, np.arange(len(batch)))
-        removed, waits = np.zeros(len(row), bool), [None] * len(batch)
-        copies, runs = batch.column("copy").to_pylist(), batch.column("runs")
+        removed, waits, repeats = np.zeros(len(row), bool), [None] * len(batch), [[] for _ in range(len(batch))]
+        copies, runs = batch.column("copy_of").to_pylist(), batch.column("runs")
         for k in range(len(batch)):
             if count[k] < WINDOW:
                 continue
-            if copies[k]:
+            if copies[k] is not None:
                 removed[first[k] : first[k] + count[k]] = True
+                repeats[k] = [{"start": 0, "end": int(count[k]), "first": copies[k]}]
             elif runs[k].is_valid and len(runs[k]):
                 own = runs[k].values
                 own = zip(*(own.field(f).to_pylist() for f in ("place", "length", "block")), strict=True)
@@ -131,58 +145,84 @@ def _settled(batches):
                     waits[k] = at.astype("<u4").tobytes()
         texts = batch.column("text").to_pylist()
         texts = [None if w is None else t for t, w in zip(texts, waits, strict=True)]
-        columns = _kept(batch, data, offsets, starts, ends, row, removed)
+        columns = [*_kept(batch, data, offsets, starts, ends, row, removed), pa.array(repeats, _REPEATS)]
         yield pa.RecordBatch.from_arrays([*columns, batch.column("did"), batch.column("twin"), pa.array(texts, pa.string()), pa.array(waits, pa.binary())], schema=_STATE)
 
 
-WINDOWS = "h1 bigint, h2 bigint, did bigint, twin bigint, place bigint"
-_WINDOWS = pa.schema([(x, pa.int64()) for x in ("h1", "h2", "did", "twin", "place")])
+WINDOWS = "digest binary, did bigint, twin bigint, places array<int>"
+_WINDOWS = pa.schema([("digest", pa.binary()), ("did", pa.int64()), ("twin", pa.int64()), ("places", pa.list_(pa.int32()))])
 
 
 def _windows(batches):
+    """The digests of each document's candidate windows, and the places where each stands."""
+    digest = hashlib.blake2b
     for batch in steps(batches):
-        _, _, _, _, row, hashes = _words(batch.column("text"))
-        first, h1, h2 = np.searchsorted(row, np.arange(len(batch))), gram_hashes(hashes, WINDOW, 1), gram_hashes(hashes, WINDOW, 2)
-        places = [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column("starts").to_pylist()]
-        owner = np.repeat(np.arange(len(batch)), [len(p) for p in places])
-        place = np.concatenate(places)
-        at = first[owner] + place
-        yield pa.RecordBatch.from_arrays([pa.array(h1[at].view(np.int64)), pa.array(h2[at].view(np.int64)), *(pa.array(np.asarray(batch.column(k))[owner]) for k in ("did", "twin")), pa.array(place)], schema=_WINDOWS)
+        data, _, starts, ends, row = _words(batch.column("text"))
+        raw = data.tobytes()
+        words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        at = np.concatenate(([0], np.cumsum(ends - starts + 1)))  # of the words once one space apart
+        joined, first = b" ".join(words), np.searchsorted(row, np.arange(len(batch))).tolist()
+        marks, standing, owner = [], [], []
+        for k, (own, begin) in enumerate(zip(batch.column("starts").to_pylist(), first, strict=True)):
+            places = np.frombuffer(own, "<u4").astype(np.int64)
+            found: dict[bytes, list[int]] = {}
+            for p, a, b in zip(places.tolist(), at[begin + places].tolist(), (at[begin + places + WINDOW] - 1).tolist(), strict=True):
+                found.setdefault(digest(joined[a:b], digest_size=16).digest(), []).append(p)
+            marks += found
+            standing += found.values()
+            owner += [k] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), *(pa.array(np.asarray(batch.column(x))[owner]) for x in ("did", "twin")), pa.array(standing, _WINDOWS.field("places").type)], schema=_WINDOWS)
 
 
 def _removed(batches):
     for batch in steps(batches):
-        data, offsets, starts, ends, row, _ = _words(batch.column("text"))
-        first, removed = np.searchsorted(row, np.arange(len(batch))), np.zeros(len(row), bool)
-        for k, places in enumerate(batch.column("places").to_pylist()):
-            for p in places or ():
-                removed[first[k] + p : first[k] + p + WINDOW] = True
-        yield pa.RecordBatch.from_arrays(_kept(batch, data, offsets, starts, ends, row, removed), schema=pa.schema(_RESULT))
+        data, offsets, starts, ends, row = _words(batch.column("text"))
+        begin, removed, repeats = np.searchsorted(row, np.arange(len(batch))), np.zeros(len(row), bool), []
+        for k, own in enumerate(batch.column("later")):
+            places = own.values.field("places") if own.is_valid else None
+            if places is None or not len(places):
+                repeats.append([])
+                continue
+            first = np.repeat(np.asarray(own.values.field("least")), np.asarray(places.value_lengths()))
+            found = repeats_of(np.asarray(places.flatten(), dtype=np.int64), first)
+            for r in found:
+                removed[begin[k] + r["start"] : begin[k] + r["end"]] = True
+            repeats.append(found)
+        yield pa.RecordBatch.from_arrays([*_kept(batch, data, offsets, starts, ends, row, removed), pa.array(repeats, _REPEATS)], schema=pa.schema(_RESULT))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256 and the removed ranges of words."""
+    """Per document: doc_id, n_words, n_removed, kept_sha256, the removed ranges of words, and the repeats that cover them.
+
+    A repeat's ``first`` is the smallest document that it stands in.
+    """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.xxhash64("text").alias("twin"))
     # exact copies of a text of smaller id
-    narrow = base.select("did", "twin", F.hash("text").alias("twin2"), F.octet_length("text").alias("size"))
-    groups = narrow.groupBy("twin", "twin2", "size").agg(F.min("did").alias("least"), F.max("did").alias("most")).where("least < most").drop("most")
-    copies = narrow.join(groups, ["twin", "twin2", "size"]).where("did > least").select("did", "twin", F.lit(True).alias("copy"), F.lit(None).cast("array<struct<place:bigint,length:int,block:boolean>>").alias("runs"))
+    narrow = base.select("did", "twin", F.unhex(F.sha2("text", 256)).alias("whole"))
+    groups = materialize(narrow.groupBy("whole").agg(F.min("did").alias("least"), F.max("did").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").drop("most"), "substring-copies")
+    copies = join_split(narrow, groups, ["whole"], F.col("did"), _sum(groups)).where("did > least").select("did", "twin", F.col("least").alias("copy_of"), F.lit(None).cast("array<struct<place:bigint,length:int,block:boolean>>").alias("runs"))
     # anchors
     runs = base.select("did", "twin", "text").mapInArrow(_runs, RUNS)
-    keys = runs.groupBy("key").agg(F.min("twin").alias("a"), F.max("twin").alias("b"), F.max("block").alias("anchor")).where("a < b").select("key", "anchor")
-    found = runs.drop("block").join(keys, "key").groupBy("did", "twin").agg(F.collect_list(F.struct("place", "length", F.col("anchor").alias("block"))).alias("runs"))
-    told = found.select("did", "twin", F.lit(False).alias("copy"), "runs").unionByName(copies)
-    told = told.groupBy("did", "twin").agg(F.max("copy").alias("copy"), F.flatten(F.collect_list("runs")).alias("runs"))
-    state = materialize(base.join(told, ["did", "twin"], "left").select("doc_id", "did", "twin", "text", "copy", "runs").mapInArrow(_settled, STATE), "substrings")
+    keys = runs.groupBy("key").agg(F.min("twin").alias("a"), F.max("twin").alias("b"), F.max("block").alias("anchor"), F.count(F.lit(1)).alias("n")).where("a < b").select("key", "anchor", "n")
+    keys = materialize(keys, "substring-keys")
+    found = join_split(runs.drop("block"), keys, ["key"], F.col("did"), _sum(keys)).groupBy("did", "twin").agg(F.collect_list(F.struct("place", "length", F.col("anchor").alias("block"))).alias("runs"))
+    told = found.select("did", "twin", F.lit(None).cast("bigint").alias("copy_of"), "runs").unionByName(copies)
+    told = told.groupBy("did", "twin").agg(F.max("copy_of").alias("copy_of"), F.flatten(F.collect_list("runs")).alias("runs"))
+    state = materialize(base.join(told, ["did", "twin"], "left").select("doc_id", "did", "twin", "text", "copy_of", "runs").mapInArrow(_settled, STATE), "substrings")
     # exact windows
     waiting = state.where("starts IS NOT NULL")
-    windows = waiting.select("did", "twin", "text", "starts").mapInArrow(_windows, WINDOWS)
-    first = windows.groupBy("h1", "h2").agg(F.min("did").alias("least"), F.max("did").alias("most")).where("least < most").drop("most")
-    later = windows.join(first, ["h1", "h2"]).where("did > least").groupBy("did", "twin").agg(F.collect_list("place").alias("places"))
-    ended = waiting.select("doc_id", "did", "twin", "text").join(later, ["did", "twin"], "left").select("doc_id", "text", "places").mapInArrow(_removed, RESULT)
+    windows = materialize(waiting.select("did", "twin", "text", "starts").mapInArrow(_windows, WINDOWS), "substring-windows")
+    first = windows.groupBy("digest").agg(F.min("did").alias("least"), F.max("did").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").drop("most")
+    first = materialize(first, "substring-firsts")
+    later = join_split(windows, first, ["digest"], F.col("did"), _sum(first)).where("did > least").groupBy("did", "twin").agg(F.collect_list(F.struct("places", "least")).alias("later"))
+    ended = waiting.select("doc_id", "did", "twin", "text").join(later, ["did", "twin"], "left").select("doc_id", "text", "later").mapInArrow(_removed, RESULT)
     return state.where("starts IS NULL").select(*[x[0] for x in _RESULT]).unionByName(ended)
 
 
+def _sum(keyed: DataFrame) -> int:
+    return keyed.agg(F.sum("n")).first()[0] or 0
+
+
 def kept_text(text: str, removed: str) -> F.Column:
     """The words of ``text`` outside the ranges ``removed``, joined by one space."""
 
@@ -203,7 +243,7 @@ _TO_SPACE = dict.fromkeys(range(0x09, 0x0E), " ")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(table(spark, sf_dir, "documents")).drop("removed")
+    return deduplicate(table(spark, sf_dir, "documents")).drop("removed", "repeats")
 
 
 def op6_sql() -> str:

@@ -81,6 +81,28 @@ def test_substrings(docs_of):
     assert substrings.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_substrings_of_long_words(docs_of):
+    a, b = "ab", "ba"  # words that polynomial hashes modulo powers of two take for one
+    for _ in range(10):
+        a, b = a + b, b + a
+    words = [f"w{k}" for k in range(49)]
+    texts = [" ".join([*words, a]), " ".join([*words, b]), " ".join([*words, a])]
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.deduplicate(docs_of(texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 50}
+
+
+def test_hot_passages_are_cut_into_parts(docs_of, monkeypatch):
+    from loomtext.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    w = [f"w{k * 7919 % 1009}" for k in range(400)]
+    texts = [" ".join([f"own{i}", *w[:60], "line of words " * 30, f"end{i}"]) for i in range(20)] + [" ".join(w[10:80])] * 5 + [None, ""]
+    found = substrings.deduplicate(docs_of(texts)).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found), key=repr) == brute6(list(enumerate(texts)))
+    own = next(r for r in found if r["doc_id"] == 7)
+    assert [(x["start"], x["end"], x["first"]) for x in own["repeats"]] == [(1, 151, 0)]
+
+
 def test_warc(spark):
     big = "é<p>" * 400_000
     pages = [(5, "u", "a" * 100), (3, "u", "a" * 100), (4, None, "a" * 99), (6, "u", "a" * 99), (7, "u", None), (8, "u", ""), (9, "u\r\nv", big), (10, "w", big), (None, "n", "a" * 100), (None, "n", "b" * 200), (3, "u", "a" * 100)]

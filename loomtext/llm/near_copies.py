@@ -3,13 +3,15 @@
 Texts are lower-cased in A-Z and split at white space; a fingerprint bit is set where over half of the 3-word
 shingles' XXH64 values have it.  Fingerprints within ``RADIUS`` (2) bits are linked.  Distinct fingerprints are dealt
 to shards by a vantage-point tree: each node parts them by their Hamming distance to a vantage point, and a
-fingerprint also visits the shards on the other side of a boundary that is within the radius (triangle bounds).  A
-shard is searched by a tree of its own with the same pruning, so all pairs within the radius are found, exactly.
+fingerprint inside a boundary also visits the shards outside that its radius reaches over (triangle bounds).  Two linked
+fingerprints of one node either go the same way, or the inner one lies within the radius of the boundary and goes
+outside with the other; so they meet in a shard, and visits are needed in one direction only.  A shard is searched by
+a tree of its own with the same pruning, visitors and residents alike, so all pairs within the radius are found, exactly.
 A shard hands on a spanning forest of its links, not all pairs; components are joined by alternating large and small
-stars, with the table written to the shared folder each round.
+stars, with the table written to the shared folder each round and hot nodes dealt over many tasks.
 
-The shard tree is laid out on ``SAMPLE`` fingerprints (those of least hash) and its depth follows their count; every
-fingerprint is indexed.  Texts without words (null and empty too) have the fingerprint zero, linked like any
+The shard tree is laid out on the ``SAMPLE`` fingerprints of least hash, or on ``PER_SHARD`` for each shard where that is more:
+8 bytes on the driver for each 4096 fingerprints.  Every fingerprint is indexed.  Texts without words (null and empty too) have the fingerprint zero, linked like any
 other.  A null doc_id is no candidate for a component's id unless it stands alone.  Repeated rows stay repeated.
 """
 
@@ -22,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomtext.llm.common import LOWER, SPACES, materialize, steps, table, text_bytes, word_spans
+from loomtext.llm.common import LOWER, SPACES, discard, join_split, materialize, steps, table, text_bytes, word_spans
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-SAMPLE, SHARD, LEAF = 4096, 32_768, 48
+SAMPLE, PER_SHARD, SHARD, LEAF = 4096, 8, 32_768, 48
 LAST = (1 << 63) - 1
 
 
@@ -74,17 +76,20 @@ def _distance(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
 
 
 def _vantage(points: np.ndarray, tries: int = 4) -> tuple[np.uint64, int] | None:
-    """A vantage point and radius that part ``points`` most evenly, or None if none of the tried ones parts them."""
+    """A vantage point and radius that part ``points``, or None if none of the tried ones parts them.
+
+    Of the tried ones and the radii next to their medians, that with the fewest points on the far side or both.
+    """
     best = None
     for vantage in points[:: max(1, len(points) // tries)][:tries]:
-        distance = _distance(points, vantage)
-        radius = int(np.median(distance))
-        inside = int((distance <= radius).sum())
-        if inside == len(points):
-            radius -= 1
-            inside = int((distance <= radius).sum())
-        if 0 < inside < len(points) and (best is None or abs(2 * inside - len(points)) < best[0]):
-            best = (abs(2 * inside - len(points)), vantage, radius)
+        within = np.cumsum(np.bincount(_distance(points, vantage), minlength=65))
+        middle = int(np.searchsorted(within, len(points) / 2))
+        for radius in range(max(0, middle - 2), min(64, middle + 2)):
+            inside = int(within[radius])
+            visits = inside - int(within[radius - RADIUS] if radius >= RADIUS else 0)
+            cost = max(inside, len(points) - inside + visits) + visits
+            if 0 < inside < len(points) and (best is None or cost < best[0]):
+                best = (cost, vantage, radius)
     return best and (best[1], best[2])
 
 
@@ -99,40 +104,37 @@ def shard_tree(sample: np.ndarray, depth: int) -> list:
 
 
 def routes(tree, points: np.ndarray, radius: int = RADIUS):
-    """(index, shard, home) of every shard that each point lives in or visits."""
-    out, stack = [], [(tree, np.arange(len(points)), np.ones(len(points), bool), 1)]
+    """(index, shard) of every shard that each point lives in or visits."""
+    out, stack = [], [(tree, np.arange(len(points)), 1)]
     while stack:
-        node, index, home, name = stack.pop()
+        node, index, name = stack.pop()
         if not len(index):
             continue
         if node is None:
-            out.append((index, np.full(len(index), name, np.int64), home))
+            out.append((index, np.full(len(index), name, np.int64)))
             continue
         distance = _distance(points[index], np.uint64(node[0])).astype(np.int64)
-        inner, outer = distance <= node[1] + radius, distance > node[1] - radius
-        inside = distance <= node[1]
-        stack += [(node[2], index[inner], home[inner] & inside[inner], 2 * name), (node[3], index[outer], home[outer] & ~inside[outer], 2 * name + 1)]
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+        stack += [(node[2], index[distance <= node[1]], 2 * name), (node[3], index[distance > node[1] - radius], 2 * name + 1)]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def close_pairs(points: np.ndarray, queries: np.ndarray, radius: int = RADIUS):
-    """Yields (point index, query index) arrays of all pairs within ``radius``, through a vantage-point tree."""
-    stack = [(np.arange(len(points)), np.arange(len(queries)))]
+def close_pairs(points: np.ndarray, radius: int = RADIUS):
+    """Yields index arrays (a, b) that hold all pairs of different points within ``radius``, some more than once."""
+    stack = [np.arange(len(points))]
     while stack:
-        p, q = stack.pop()
-        if not len(p) or not len(q):
-            continue
+        p = stack.pop()
         found = _vantage(points[p], 2) if len(p) > LEAF else None
-        if found is None:
-            step = max(1, (1 << 21) // len(p))
-            for at in range(0, len(q), step):
-                some = q[at : at + step]
-                i, k = np.nonzero(np.bitwise_count(points[p][:, None] ^ queries[some][None, :]) <= radius)
-                yield p[i], some[k]
+        distance = found and _distance(points[p], found[0]).astype(np.int64)
+        outer = None if found is None else p[distance > found[1] - radius]
+        if found is None or len(outer) == len(p):  # not to be parted further
+            step = max(1, (1 << 21) // max(1, len(p)))
+            for at in range(0, len(p), step):
+                some = p[at : at + step]
+                i, k = np.nonzero(np.bitwise_count(points[p][:, None] ^ points[some][None, :]) <= radius)
+                apart = p[i] < some[k]
+                yield p[i[apart]], some[k[apart]]
             continue
-        vantage, edge = found
-        inside, distance = _distance(points[p], vantage) <= edge, _distance(queries[q], vantage).astype(np.int64)
-        stack += [(p[inside], q[distance <= edge + radius]), (p[~inside], q[distance > edge - radius])]
+        stack += [p[distance <= found[1]], outer]
 
 
 def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -158,15 +160,10 @@ _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def _shard_links(table: pa.Table) -> pa.Table:
     """Edges from each linked fingerprint of a shard to the least one it is joined to there."""
-    marks = np.unique(np.asarray(table["fingerprint"])).view(np.uint64)
-    homes = np.unique(np.asarray(table["fingerprint"].filter(table["home"]))).view(np.uint64)
-    marks, parent = np.sort(marks), np.arange(len(marks))
-    homes = np.sort(homes)
-    place = np.searchsorted(marks, homes)
-    for p, q in close_pairs(homes, marks):
-        a = place[p]
-        apart = a != q
-        unite(parent, a[apart], q[apart])
+    marks = np.unique(np.asarray(table["fingerprint"]).view(np.uint64))
+    parent = np.arange(len(marks))
+    for a, b in close_pairs(marks):
+        unite(parent, a, b)
     while (parent[parent] != parent).any():
         parent = parent[parent]
     moved = np.flatnonzero(parent != np.arange(len(marks)))
@@ -183,36 +180,39 @@ def components(edges: DataFrame) -> DataFrame:
             return held
         before = told
         both = held.unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_split(both, least, ["a"], F.col("b"), 2 * told[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = join_split(large, low, ["a"], F.col("b"), 2 * told[0])
         small = joined.select("a", F.col("m").alias("b")).unionByName(joined.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        held = materialize(small, "edges")
+        old, held = held, materialize(small, "edges")
+        discard(old)
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, twin, fingerprint (bits as a bigint), component_id and label (of the component) of each document."""
     marks = materialize(fingerprint(docs), "simhash")
-    each = materialize(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    sample = each.select("fingerprint").orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(SAMPLE)
-    sample = np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64)  # SAMPLE rows at most
-    depth = max(0, (each.count() // SHARD).bit_length())
+    each = materialize(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    count, total = each.agg(F.count(F.lit(1)), F.sum("n")).first()
+    depth = (count // SHARD).bit_length()
+    sample = each.select("fingerprint").orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(max(SAMPLE, PER_SHARD << depth))
+    sample = np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64)  # one in SHARD / PER_SHARD at most
     tree = shard_tree(sample, depth)
 
     def dealt(batches):
         for batch in batches:
             own = np.asarray(batch.column("fingerprint")).view(np.uint64)
-            index, shard, home = routes(tree, own)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(own[index].view(np.int64)), pa.array(home)], names=["shard", "fingerprint", "home"])
+            index, shard = routes(tree, own)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(own[index].view(np.int64))], names=["shard", "fingerprint"])
 
-    shards = each.select("fingerprint").mapInArrow(dealt, "shard bigint, fingerprint bigint, home boolean")
+    shards = each.select("fingerprint").mapInArrow(dealt, "shard bigint, fingerprint bigint")
     links = components(shards.groupBy("shard").applyInArrow(_shard_links, "a bigint, b bigint"))
-    named = each.join(links.select(F.col("a").alias("fingerprint"), "b"), "fingerprint", "left").select("fingerprint", "least", F.coalesce("b", "fingerprint").alias("label"))
+    named = each.join(links.select(F.col("a").alias("fingerprint"), "b"), "fingerprint", "left").select("fingerprint", "least", "n", F.coalesce("b", "fingerprint").alias("label"))
     named = materialize(named, "simhash-labels")
-    many = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_mark = named.join(many, "label").select("fingerprint", "component_id", "label")
-    return marks.join(of_mark, "fingerprint")
+    many = named.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of_mark = join_split(named.withColumnRenamed("n", "own"), many, ["label"], F.col("fingerprint"), count)
+    of_mark = of_mark.select("fingerprint", "component_id", "label", F.col("own").alias("n"))
+    return join_split(marks, of_mark, ["fingerprint"], F.coalesce("doc_id", "twin"), total or 0)
 
 
 def representatives(docs: DataFrame) -> DataFrame:

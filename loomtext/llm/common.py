@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 
 #: Text handled by one step of a Python worker; a longer single text is a step of its own.
 STEP_BYTES = 1 << 20
-#: Rows of an Arrow batch, so that a batch of texts stays small on both sides.
-BATCH_ROWS = 1024
+#: Rows and bytes of an Arrow batch, so that a batch of texts stays small on both sides.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 #: Stands for a null id wherever rows are ordered by id: before every real id.
 NULL_ID = -(1 << 63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,9 +1,10 @@
 """WARC records as a table of chunks.
 
 A record is stored as rows (record, chunk, n_chunks, body, digest): the bodies of a record's chunks in order are its
-bytes in a WARC file, head first.  Each row carries the SHA-256 of the payload up to and with its chunk, so
-writer and reader hash as they stream, check each chunk, and never hold more than one chunk of an oversized payload
-besides the row Spark hands over.  Of records with equal payloads of ``LEAST`` (100) bytes or more, that of the smallest
+bytes in a WARC file, head first.  Payloads are cut into chunks before they leave the JVM, and each row carries the
+SHA-256 of the payload up to and with its chunk, so writer and reader hash as they stream, check each chunk, and hold
+one chunk of a record at a time.  A first pass over the chunks tells each payload's digest; equal digests meet without
+their payloads, hot ones cut into parts, and payloads are shuffled once, by page.  Of records with equal payloads of ``LEAST`` (100) bytes or more, that of the smallest
 page_id is a response and the others are revisits of it, which name the payload's digest and length but hold no
 payload; smaller payloads are always responses.
 
@@ -17,10 +18,10 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import materialize, partitions, steps, table
+from loomtext.llm.common import NULL_ID, join_split, materialize, partitions, steps, table
 
 LEAST, CHUNK = 100, 1 << 20
 CHUNKS = "record string, chunk bigint, n_chunks bigint, body binary, digest string"
@@ -40,40 +41,67 @@ def head(kind: str, record: str, page_id: int | None, url: str | None, digest: s
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
-def _written(chunk_bytes: int):
-    def run(batches):
-        for batch in steps(batches, "html"):
-            out = []
-            for row in batch.to_pylist():
-                payload = memoryview(row["html"])
-                kind = "response" if row["refers_to"] is None else "revisit"
-                opening = head(kind, row["record"], row["page_id"], row["url"], row["payload_digest"], len(payload), row["refers_to"])
-                parts = range(0, max(1, len(payload) if kind == "response" else 1), chunk_bytes)
-                digest = hashlib.sha256()
-                for k, at in enumerate(parts):
-                    piece = payload[at : at + chunk_bytes] if kind == "response" else b""
-                    digest.update(piece)
-                    body = (opening if not k else b"") + bytes(piece) + (b"\r\n\r\n" if k == len(parts) - 1 else b"")
-                    out.append({"record": row["record"], "chunk": k, "n_chunks": len(parts), "body": body, "digest": digest.hexdigest()})
-                    if len(parts) > 1:
-                        yield pa.RecordBatch.from_pylist(out, schema=_CHUNKS)
-                        out = []
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=_CHUNKS)
-
-    return run
+def _cut(pages: DataFrame, columns: list[str | Column], chunk_bytes: int, whole: Column) -> DataFrame:
+    """``columns``, chunk, n_chunks and piece: a row for each chunk of ``html``, a page's chunks one after another.
+
+    Where ``whole`` is false the payload is left out.
+    """
+    html = F.when(whole, F.col("html")).otherwise(F.lit(b""))
+    last = F.greatest(F.floor((F.octet_length(html) - 1) / chunk_bytes), F.lit(0)).cast("int")
+    rows = pages.select(*columns, html.alias("html"), (last + 1).cast("long").alias("n_chunks"))
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks").cast("int") - 1)))
+    return rows.withColumn("piece", F.substring("html", F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes))).drop("html")
+
+
+DIGESTS = "page bigint, twin bigint, size bigint, digest string"
+_DIGESTS = pa.schema([("page", pa.int64()), ("twin", pa.int64()), ("size", pa.int64()), ("digest", pa.string())])
+
+
+def _digested(batches):
+    """The digest of each payload from its chunks."""
+    digest = None
+    for batch in steps(batches, "piece"):
+        out = []
+        for page, twin, size, n, k, piece in zip(*(batch.column(x).to_pylist() for x in ("page", "twin", "size", "n_chunks", "chunk", "piece")), strict=True):
+            digest = hashlib.sha256() if not k else digest
+            digest.update(piece)
+            if k == n - 1:
+                out.append((page, twin, size, digest.hexdigest()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _DIGESTS, strict=True)], schema=_DIGESTS)
+
+
+def _written(batches):
+    digest = None
+    for batch in steps(batches, "piece"):
+        out = []
+        for row in batch.to_pylist():
+            k, last = row["chunk"], row["chunk"] == row["n_chunks"] - 1
+            kind = "response" if row["refers_to"] is None else "revisit"
+            opening = b"" if k else head(kind, row["record"], row["page_id"], row["url"], row["digest"], row["size"], row["refers_to"])
+            digest = digest if k else hashlib.sha256()
+            digest.update(row["piece"])
+            if last and kind == "response" and digest.hexdigest() != row["digest"]:
+                raise ValueError(f"the payload of page {row['page_id']} changed between two readings")
+            out.append({"record": row["record"], "chunk": k, "n_chunks": row["n_chunks"], "body": b"".join((opening, row["piece"], b"\r\n\r\n" if last else b"")), "digest": digest.hexdigest()})
+        yield pa.RecordBatch.from_pylist(out, schema=_CHUNKS)
 
 
 def write(pages: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     """Write a record for each page; returns the written chunk table."""
-    rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("html"))
-    rows = rows.withColumn("payload_digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html"))
-    # only payloads that stand more than once take part in the join; sums go before the shuffle
-    first = rows.where(F.col("size") >= LEAST).groupBy("payload_digest").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = rows.join(first, "payload_digest", "left")
-    refers = F.when((F.col("size") >= LEAST) & F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least")), F.col("least"))
-    named = joined.select("page_id", "url", "html", "payload_digest", refers.alias("refers_to"), F.expr("uuid()").alias("record"))
-    return materialize(named.mapInArrow(_written(chunk_bytes), CHUNKS), "warc")
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("html"))
+    rows = rows.select("*", F.coalesce("page_id", F.lit(NULL_ID)).alias("page"), F.xxhash64("html").alias("twin"), F.octet_length("html").cast("long").alias("size"))
+    told = materialize(_cut(rows, ["page", "twin", "size"], chunk_bytes, F.lit(True)).mapInArrow(_digested, DIGESTS), "warc-digests")
+    # payloads that stand more than once, by their digests alone
+    large = told.where(F.col("size") >= LEAST)
+    first = large.groupBy("digest").agg(F.min(F.when(F.col("page") != NULL_ID, F.col("page"))).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = materialize(first, "warc-firsts")
+    refers = F.when(F.col("least") != F.col("page"), F.col("least")).alias("refers_to")
+    named = join_split(large, first, ["digest"], F.xxhash64("page", "twin"), first.agg(F.sum("n")).first()[0] or 0, "left").select("page", "twin", "size", "digest", refers)
+    named = named.unionByName(told.where(F.col("size") < LEAST).withColumn("refers_to", F.lit(None).cast("bigint"))).distinct()
+    records = rows.join(named, ["page", "twin", "size"]).withColumn("record", F.expr("uuid()"))
+    chunks = _cut(records, ["page_id", "url", "size", "digest", "refers_to", "record"], chunk_bytes, F.col("refers_to").isNull())
+    return materialize(chunks.mapInArrow(_written, CHUNKS), "warc")
 
 
 READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"

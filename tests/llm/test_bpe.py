@@ -59,15 +59,18 @@ def test_encode_keeps_other_columns(docs_of):
 def test_boundaries_in_a_block(n, most):
     pick = random.Random(n + most)
     documents = [np.array([pick.randrange(50_000) for _ in range(pick.randint(0, most))], "<u4").tobytes() for _ in range(n)]
-    block = files.Block(files.encode_block(documents, 2))
-    assert block.ends().tolist() == [block.end(i) for i in range(n)] == np.cumsum([len(d) // 4 for d in documents]).tolist()
+    names = sorted(pick.choice([pick.randrange(-(1 << 63) + 1, 1 << 63), pick.randrange(n)]) for _ in range(n))
+    names[: n // 3] = [None] * (n // 3)
+    block = files.Block(files.encode_block(documents, 2, names))
+    assert [block.name(i) for i in range(n)] == names
+    assert [block.end(i) for i in range(n)] == np.cumsum([len(d) // 4 for d in documents]).tolist()
     assert [block.document(i).astype("<u4").tobytes() for i in range(n)] == documents
 
 
 def test_boundaries_take_little_space():
     documents = [np.zeros(500, "<u4").tobytes()] * 1000
     raw = files.encode_block(documents, 2)
-    assert len(raw) - 2 * 500 * 1000 < 1000 * 12 / 8 + 200
+    assert len(raw) - 2 * 500 * 1000 < 1000 * (12 + 3) / 8 + 400  # ends and ids of a thousand documents
 
 
 def test_token_files(spark, docs_of):
@@ -87,6 +90,17 @@ def test_token_files(spark, docs_of):
         files.Block(b"nope" + bytes(60))
 
 
+def test_query_of_files(spark, sf, documents):
+    import zlib
+
+    tokenizer, start = Tokenizer.from_file(bpe.vocabulary("byte_bpe_50k.json")), 0
+    got = sorted(files.op4_token_files(spark, sf).collect(), key=lambda r: r["start"])
+    for r, d in zip(got, documents.orderBy("doc_id").collect(), strict=True):
+        ids = [*ids_of(tokenizer, d["text"]), 2]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (d["doc_id"], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_words_of_all_scripts_go_through_the_table(name):
     made = bpe.WordTable(bpe.vocabulary(name))

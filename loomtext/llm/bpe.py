@@ -1,11 +1,17 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split into the tokenizer's own words, each distinct word of a block is encoded once by the tokenizers
-library, and the ids are joined back by the words' positions; decoding joins ids with the id-to-piece table.  The
-table is kept by block of texts, and from block to block in each Python worker, up to twice ``WORDS`` entries (the
-less recent half goes first): a corpus-wide table would shuffle a row for every word position.  Special-token strings in a text are what the library makes of them:
-single special ids.  The splitting rules here cover code points below U+0300; a text with any other is split by the
-library's normalizer and pre-tokenizer, and its words go through the same table.
+Texts are split into the tokenizer's own words, block by block: a block's distinct words are listed once, and each text
+keeps the places of its words in that list, packed.  The blocks' lists make up a table of the distinct words of all
+texts, each of which is encoded once by the tokenizers library.  Its ids are joined back to the blocks that hold the
+word, and from there by the packed places to the texts.  Decoding joins ids with the id-to-piece table: those of each
+distinct word where texts were just encoded, else the distinct ids of each block.  So a word costs a shuffled
+row for each block it stands in and not for each place, and no word has more rows than there are blocks; common ones are
+cut into parts.  Blocks hold the texts of one Arrow batch at most, or one longer text.
+
+Special-token strings in a text are what the library makes of them: single special ids.  The splitting rules here
+cover code points below U+0300; a text with any other is split by the library's normalizer and pre-tokenizer, and its
+words go through the same table.  ``WordTable`` is the same for a single worker: it keeps the ids of up to twice
+``WORDS`` words (the less recent half goes first).
 
 Null counts as empty; an empty text has no ids and decodes to the empty text.  Repeated rows stay repeated.
 """
@@ -20,11 +26,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import single_thread, steps, table
+from loomtext.llm.common import BATCH_BYTES, join_split, materialize, single_thread, steps, table
 
 #: Words whose ids a worker keeps before it starts a new half of its table.
 WORDS = 100_000
@@ -64,10 +71,13 @@ class _Ids(dict):
         self.special, self.older, self.tokenize = special, {}, tokenizer.model.tokenize
         self.letters = dict(enumerate(byte_letters()))
 
+    def encode(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = packed([t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+            ids = packed(self.encode(word))
         self[word] = ids
         return ids
 
@@ -77,6 +87,15 @@ class _Ids(dict):
         self.clear()
         self.update(self.special)
 
+
+class _Places(dict):
+    """word -> its place among the distinct words met so far."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        return place
+
+
 class WordTable:
     """Encodes and decodes texts as the tokenizer in the file does (``add_special_tokens=False``)."""
 
@@ -97,6 +116,7 @@ class WordTable:
             self.word = re.compile(f"{CONTRACTIONS}| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+")
         special = {t["content"]: t["id"] for t in plan["added_tokens"]}
         self.special = {s: packed([i]) for s, i in special.items()}
+        self.special_of, self.special_ids = special, set(special.values())
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.pieces = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
         self.joined = plan["decoder"] is None
@@ -109,7 +129,7 @@ class WordTable:
             text = self.tokenizer.normalizer.normalize_str(text)
         return ["".join(w).encode("latin-1").decode() for w in (map(self.byte.__getitem__, piece) for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))]
 
-    def _words(self, text: str) -> list[str]:
+    def words(self, text: str) -> list[str]:
         """A special token stands as a word of its own."""
         if not text.isascii() and _BEYOND.search(text):
             parts = [text] if self.cut is None else self.cut.split(text)
@@ -118,12 +138,24 @@ class WordTable:
             return self.word.findall(text.lower() if self.lower else text)
         return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else self.word.findall(part.lower() if self.lower else part))]
 
+    def ids(self, word: str) -> list[int]:
+        """The ids of one word, or of a special token."""
+        return [self.special_of[word]] if word in self.special_of else self.table.encode(word)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.table) > self.most:
             self.table.renew()
         take = self.table.__getitem__
-        return [b"".join(map(take, self._words(t or ""))) for t in texts]
+        return [b"".join(map(take, self.words(t or ""))) for t in texts]
+
+    def piece(self, i: int) -> bytes:
+        """What an id adds to a decoded text."""
+        token = self.pieces[i]
+        return token.encode() if self.joined or i in self.special_ids else "".join(map(self.byte.__getitem__, token)).encode("latin-1")
+
+    def text_of(self, pieces: list[bytes]) -> str:
+        return (b" " if self.joined else b"").join(pieces).decode("utf-8", "replace")
 
     def decode(self, ids: bytes | None) -> str:
         """As ``decode(ids, skip_special_tokens=False)``: pieces joined by a space where the file names no decoder."""
@@ -148,36 +180,130 @@ def _append(batch: pa.RecordBatch, field: str, column: pa.Array) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], column], [*kept, field])
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit) for each whole text."""
+#: Names of the columns that these operators add in between; no column of the input is called so.
+BLOCK, PLACES, LIST = "\0block", "\0places", "\0list"
+_KNOWN = pa.schema([("word", pa.string()), ("n", pa.int64()), ("ids", pa.binary()), ("numbers", pa.list_(pa.int64()))])
 
-    def run(batches):
-        words = word_table(path)
-        for batch in steps(batches, text):
-            yield _append(batch, ids, pa.array(words.encode(batch.column(text).to_pylist()), pa.binary()))
 
-    return docs.mapInArrow(run, _appended(docs, ids, "binary"))
+def _blocks(df: DataFrame, column: str, split, kind: str, drop: bool) -> DataFrame:
+    """``df`` with the block of each row, the places of its parts in the block's list, and on one row of each block that list.
 
+    ``split``: makes the function that cuts a value into parts, in the worker; ``kind``: the SQL type of a part.
+    """
+    kept = [f for f in df.schema if not (drop and f.name == column)]
+    schema = T.StructType([*kept, T.StructField(BLOCK, T.LongType()), T.StructField(PLACES, T.BinaryType()), T.StructField(LIST, T.ArrayType(T.DataType.fromDDL(kind)))])
+    names, listed = [f.name for f in schema], pa.list_(pa.string() if kind == "string" else pa.int64())
 
-def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     def run(batches):
-        words = word_table(path)
-        for batch in steps(batches, ids):
-            yield _append(batch, into, pa.array(map(words.decode, batch.column(ids).to_pylist()), pa.string()))
+        cut, block = split(), TaskContext.get().partitionId() << 33
+        for batch in steps(batches, column, BATCH_BYTES):
+            places = _Places()
+            rows = [np.fromiter(map(places.__getitem__, cut(x)), "<u4").tobytes() for x in batch.column(column).to_pylist()]
+            own = [list(places), *[None] * (len(rows) - 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.binary()), pa.array(own, listed)], names)
+            block += 1
 
-    return encoded.mapInArrow(run, _appended(encoded, into, "string"))
+    return materialize(df.mapInArrow(run, schema), "bpe-blocks")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and decoded text of each document of ``docs``: both ways in one pass."""
+def _entries(blocks: DataFrame, part: str) -> DataFrame:
+    """(block, place, part): the blocks' lists as rows."""
+    return blocks.where(F.col(LIST).isNotNull()).select(F.col(BLOCK).alias("block"), F.posexplode(LIST).alias("place", part))
+
+
+def _joined_back(blocks: DataFrame, entries: DataFrame, values: list[str], make, schema: T.StructType) -> DataFrame:
+    """Each block's rows with the values of its list's parts: ``make`` gets a block's rows and its values by place."""
+    lists = entries.groupBy(F.col("block").alias(BLOCK)).agg(F.collect_list(F.struct("place", *values)).alias("parts"))  # a block's list
+
+    def run(rows: pa.Table, parts: pa.Table) -> pa.Table:
+        own = parts.column("parts").combine_chunks().flatten() if len(parts) else None
+        order = np.argsort(np.asarray(own.field("place"))) if own is not None else []
+        found = [own.field(v).take(pa.array(order)).to_pylist() if own is not None else [] for v in values]
+        return make(rows, *found)
+
+    return blocks.drop(LIST).groupBy(BLOCK).cogroup(lists.groupBy(BLOCK)).applyInArrow(run, schema)
+
+
+def _places(rows: pa.Table) -> list[list[int]]:
+    return [np.frombuffer(x, "<u4").tolist() for x in rows.column(PLACES).to_pylist()]
+
+
+def _taken(rows: pa.Table, schema: T.StructType, more: dict[str, pa.Array]) -> pa.Table:
+    return pa.Table.from_arrays([more[f.name] if f.name in more else rows.column(f.name) for f in schema], [f.name for f in schema])
+
+
+def _word_blocks(docs: DataFrame, path: str, text: str, drop: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks of ``docs``, the entries of their lists, and (word, n, ids, numbers) for each distinct word, encoded once."""
+
+    def split():
+        words = word_table(path).words
+        return lambda t: words(t or "")
+
+    blocks = _blocks(docs, text, split, "string", drop)
+    entries = _entries(blocks, "word")
 
     def run(batches):
+        found = word_table(path)
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            ids = [found.ids(w) for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(map(packed, ids), pa.binary()), pa.array(ids, pa.list_(pa.int64()))], schema=_KNOWN)
+
+    known = entries.groupBy("word").agg(F.count(F.lit(1)).alias("n")).mapInArrow(run, "word string, n bigint, ids binary, numbers array<bigint>")
+    return blocks, entries, materialize(known, "bpe-words")
+
+
+def _total(known: DataFrame) -> int:
+    return known.agg(F.sum("n")).first()[0] or 0
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit) for each whole text."""
+    blocks, entries, known = _word_blocks(docs, path, text, False)
+    schema = _appended(docs, ids, "binary")
+
+    def make(rows, own):
+        return _taken(rows, schema, {ids: pa.array([b"".join(map(own.__getitem__, p)) for p in _places(rows)], pa.binary())})
+
+    return _joined_back(blocks, join_split(entries, known.drop("numbers"), ["word"], F.col("block"), _total(known)), ["ids"], make, schema)
+
+
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """The id-to-piece table: a row for each id of the vocabulary."""
+    words = word_table(path)
+    return spark.createDataFrame([(i, words.piece(i)) for i in range(len(words.pieces))], "id bigint, piece binary")
+
+
+def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
+    """``encoded`` with ``into``: the text of each row's ids, as ``decode(ids, skip_special_tokens=False)`` gives it."""
+    blocks = _blocks(encoded, ids, lambda: lambda x: np.frombuffer(x or b"", "<u4").tolist(), "bigint", False)
+    schema = _appended(encoded, into, "string")
+
+    def make(rows, own):
         words = word_table(path)
-        for batch in steps(batches):
-            ids = words.encode(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(map(words.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
+        return _taken(rows, schema, {into: pa.array([words.text_of(list(map(own.__getitem__, p))) for p in _places(rows)], pa.string())})
+
+    return _joined_back(blocks, _entries(blocks, "id").join(pieces(encoded.sparkSession, path), "id"), ["piece"], make, schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary, decoded string")
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids and decoded text of each document of ``docs``: the distinct words are decoded, and joined back with their ids."""
+    blocks, entries, known = _word_blocks(docs.select("doc_id", "text"), path, "text", True)
+    each = known.where(F.length("ids") > 0).select("word", "n", "ids", F.posexplode("numbers").alias("nth", "id"))
+    decoded = each.join(pieces(docs.sparkSession, path), "id").groupBy("word").agg(F.first("n").alias("n"), F.first("ids").alias("ids"), F.transform(F.array_sort(F.collect_list(F.struct("nth", "piece"))), lambda x: x["piece"]).alias("pieces"))
+    none = known.where(F.length("ids") == 0).select("word", "n", "ids", F.array().cast("array<binary>").alias("pieces"))
+    decoded = materialize(decoded.unionByName(none), "bpe-pieces")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+
+    def make(rows, own, told):
+        words, places = word_table(path), _places(rows)
+        joint = b" " if words.joined else b""
+        told = [joint.join(x) for x in told]
+        whole = all(own)
+        texts = [joint.join(map(told.__getitem__, p if whole else [k for k in p if own[k]])).decode("utf-8", "replace") for p in places]
+        return _taken(rows, schema, {"ids": pa.array([b"".join(map(own.__getitem__, p)) for p in places], pa.binary()), "decoded": pa.array(texts, pa.string())})
+
+    return _joined_back(blocks, join_split(entries, decoded, ["word"], F.col("block"), _total(known)), ["ids", "pieces"], make, schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -1,12 +1,12 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split into the tokenizer's own words, block by block: a block's distinct words are listed once, and each text
-keeps the places of its words in that list, packed.  The blocks' lists make up a table of the distinct words of all
-texts, each of which is encoded once by the tokenizers library.  Its ids are joined back to the blocks that hold the
-word, and from there by the packed places to the texts.  Decoding joins ids with the id-to-piece table: those of each
-distinct word where texts were just encoded, else the distinct ids of each block.  So a word costs a shuffled
-row for each block it stands in and not for each place, and no word has more rows than there are blocks; common ones are
-cut into parts.  Blocks hold the texts of one Arrow batch at most, or one longer text.
+Texts are split into the tokenizer's own words, block by block (about ``BLOCK_BYTES`` of texts, or one longer text): a
+block's distinct words are listed once, and each text keeps the places of its words in that list, in one to five
+bytes each.  The lists of all blocks are shuffled by word, where each distinct word is encoded once by the tokenizers
+library, and the ids go back to the blocks that hold the word, and from there by the packed places to the texts.
+Decoding joins the distinct ids of a block with the id-to-piece table, and puts pieces in the ids' places.  So a word
+costs a shuffled row for each block it stands in and not for each place it stands at: the commonest word has as many
+rows as there are blocks, one in tens of thousands of all, and they pass its task as a stream.
 
 Special-token strings in a text are what the library makes of them: single special ids.  The splitting rules here
 cover code points below U+0300; a text with any other is split by the library's normalizer and pre-tokenizer, and its
@@ -23,6 +23,7 @@ import re
 import struct
 import unicodedata
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import BATCH_BYTES, join_split, materialize, single_thread, steps, table
+from loomtext.llm.common import materialize, partitions, single_thread, steps, table
 
 #: Words whose ids a worker keeps before it starts a new half of its table.
 WORDS = 100_000
@@ -159,10 +160,7 @@ class WordTable:
 
     def decode(self, ids: bytes | None) -> str:
         """As ``decode(ids, skip_special_tokens=False)``: pieces joined by a space where the file names no decoder."""
-        found = np.frombuffer(ids or b"", "<u4").tolist()
-        if self.joined:
-            return " ".join(map(self.pieces.__getitem__, found))
-        return self.tokenizer.decode(found, skip_special_tokens=False)
+        return self.text_of(list(map(self.piece, np.frombuffer(ids or b"", "<u4").tolist())))
 
 
 @lru_cache(maxsize=2)
@@ -181,8 +179,44 @@ def _append(batch: pa.RecordBatch, field: str, column: pa.Array) -> pa.RecordBat
 
 
 #: Names of the columns that these operators add in between; no column of the input is called so.
-BLOCK, PLACES, LIST = "\0block", "\0places", "\0list"
-_KNOWN = pa.schema([("word", pa.string()), ("n", pa.int64()), ("ids", pa.binary()), ("numbers", pa.list_(pa.int64()))])
+BLOCK, PLACES, LIST = "own block", "own places", "own list"
+BLOCK_BYTES = 8 << 20
+
+
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, end of each) of numbers below 2^32: seven bits a byte, low ones first, the top bit where more follow."""
+    sizes = 1 + sum((values >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(sizes)
+    out, starts = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8), ends - sizes
+    for k in range(5):
+        more = sizes > k
+        out[starts[more] + k] = values[more] >> np.uint64(7 * k) & np.uint64(127) | (sizes[more] > k + 1).astype(np.uint64) << np.uint64(7)
+    return out, ends
+
+
+def numbers(raw: np.ndarray) -> np.ndarray:
+    """The numbers of ``varints``."""
+    ends = np.flatnonzero(raw < 128) + 1
+    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    out = np.zeros(len(ends), np.uint64)
+    for k in range(5):
+        more = ends - starts > k
+        out[more] |= (raw[starts[more] + k] & 127).astype(np.uint64) << np.uint64(7 * k)
+    return out.astype(np.int64)
+
+
+def _gathered(batches, column: str, limit: int):
+    """Steps put together up to ``limit`` bytes of ``column``."""
+    held, size = [], 0
+    for batch in steps(batches, column, limit):
+        own = batch.column(column).nbytes
+        if held and size + own > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(batch)
+        size += own
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def _blocks(df: DataFrame, column: str, split, kind: str, drop: bool) -> DataFrame:
@@ -196,9 +230,12 @@ def _blocks(df: DataFrame, column: str, split, kind: str, drop: bool) -> DataFra
 
     def run(batches):
         cut, block = split(), TaskContext.get().partitionId() << 33
-        for batch in steps(batches, column, BATCH_BYTES):
+        for batch in _gathered(batches, column, BLOCK_BYTES):
             places = _Places()
-            rows = [np.fromiter(map(places.__getitem__, cut(x)), "<u4").tobytes() for x in batch.column(column).to_pylist()]
+            found = [np.fromiter(map(places.__getitem__, cut(x)), np.uint64) for x in batch.column(column).to_pylist()]
+            raw, ends = varints(np.concatenate(found))
+            ends, raw = np.concatenate(([0], ends))[np.cumsum([0, *map(len, found)])].tolist(), raw.tobytes()
+            rows = [raw[a:b] for a, b in pairwise(ends)]
             own = [list(places), *[None] * (len(rows) - 1)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.binary()), pa.array(own, listed)], names)
             block += 1
@@ -211,61 +248,61 @@ def _entries(blocks: DataFrame, part: str) -> DataFrame:
     return blocks.where(F.col(LIST).isNotNull()).select(F.col(BLOCK).alias("block"), F.posexplode(LIST).alias("place", part))
 
 
-def _joined_back(blocks: DataFrame, entries: DataFrame, values: list[str], make, schema: T.StructType) -> DataFrame:
-    """Each block's rows with the values of its list's parts: ``make`` gets a block's rows and its values by place."""
-    lists = entries.groupBy(F.col("block").alias(BLOCK)).agg(F.collect_list(F.struct("place", *values)).alias("parts"))  # a block's list
+def _lists(entries: DataFrame, *fields: str) -> DataFrame:
+    """The entries of each block as one row: never more than the words of a block."""
+    return entries.groupBy("block").agg(F.collect_list(F.struct(*fields)).alias("parts"))
+
+
+def _joined_back(blocks: DataFrame, lists: DataFrame, make, schema: T.StructType) -> DataFrame:
+    """``make`` gets the places of each of a block's rows and what its list became, and tells the columns to add."""
 
     def run(rows: pa.Table, parts: pa.Table) -> pa.Table:
-        own = parts.column("parts").combine_chunks().flatten() if len(parts) else None
-        order = np.argsort(np.asarray(own.field("place"))) if own is not None else []
-        found = [own.field(v).take(pa.array(order)).to_pylist() if own is not None else [] for v in values]
-        return make(rows, *found)
+        places = [numbers(np.frombuffer(x, np.uint8)).tolist() for x in rows.column(PLACES).to_pylist()]
+        more = make(places, parts.to_pylist()[0] if len(parts) else {})
+        return pa.Table.from_arrays([more[f.name] if f.name in more else rows.column(f.name) for f in schema], [f.name for f in schema])
 
-    return blocks.drop(LIST).groupBy(BLOCK).cogroup(lists.groupBy(BLOCK)).applyInArrow(run, schema)
+    return blocks.drop(LIST).groupBy(BLOCK).cogroup(lists.groupBy("block")).applyInArrow(run, schema)
 
 
-def _places(rows: pa.Table) -> list[list[int]]:
-    return [np.frombuffer(x, "<u4").tolist() for x in rows.column(PLACES).to_pylist()]
+def _by_place(parts: list[dict] | None, value: str) -> dict:
+    return {p["place"]: p[value] for p in parts or ()}
 
 
-def _taken(rows: pa.Table, schema: T.StructType, more: dict[str, pa.Array]) -> pa.Table:
-    return pa.Table.from_arrays([more[f.name] if f.name in more else rows.column(f.name) for f in schema], [f.name for f in schema])
+ENCODED = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
 
-def _word_blocks(docs: DataFrame, path: str, text: str, drop: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Blocks of ``docs``, the entries of their lists, and (word, n, ids, numbers) for each distinct word, encoded once."""
+def _word_lists(docs: DataFrame, path: str, text: str, drop: bool) -> tuple[DataFrame, DataFrame]:
+    """Blocks of ``docs``, and for each the ids of the words of its list: every distinct word of all texts is encoded once."""
 
     def split():
         words = word_table(path).words
         return lambda t: words(t or "")
 
-    blocks = _blocks(docs, text, split, "string", drop)
-    entries = _entries(blocks, "word")
-
     def run(batches):
-        found = word_table(path)
-        for batch in batches:
-            words = batch.column("word").to_pylist()
-            ids = [found.ids(w) for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(map(packed, ids), pa.binary()), pa.array(ids, pa.list_(pa.int64()))], schema=_KNOWN)
+        found, last, own = word_table(path), None, []
+        for batch in batches:  # in the order of the words
+            ids = []
+            for word in batch.column("word").to_pylist():
+                if word != last:
+                    last, own = word, found.ids(word)
+                ids.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), pa.array(ids, pa.list_(pa.int32()))], schema=ENCODED)
 
-    known = entries.groupBy("word").agg(F.count(F.lit(1)).alias("n")).mapInArrow(run, "word string, n bigint, ids binary, numbers array<bigint>")
-    return blocks, entries, materialize(known, "bpe-words")
-
-
-def _total(known: DataFrame) -> int:
-    return known.agg(F.sum("n")).first()[0] or 0
+    blocks = _blocks(docs, text, split, "string", drop)
+    entries = _entries(blocks, "word").repartition(partitions(docs.sparkSession), "word").sortWithinPartitions("word")
+    encoded = entries.mapInArrow(run, T.StructType([T.StructField("block", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return blocks, _lists(encoded, "place", "ids")
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit) for each whole text."""
-    blocks, entries, known = _word_blocks(docs, path, text, False)
-    schema = _appended(docs, ids, "binary")
+    blocks, lists = _word_lists(docs, path, text, False)
 
-    def make(rows, own):
-        return _taken(rows, schema, {ids: pa.array([b"".join(map(own.__getitem__, p)) for p in _places(rows)], pa.binary())})
+    def make(places, told):
+        own = {k: packed(x) for k, x in _by_place(told.get("parts"), "ids").items()}
+        return {ids: pa.array([b"".join(map(own.__getitem__, p)) for p in places], pa.binary())}
 
-    return _joined_back(blocks, join_split(entries, known.drop("numbers"), ["word"], F.col("block"), _total(known)), ["ids"], make, schema)
+    return _joined_back(blocks, lists, make, _appended(docs, ids, "binary"))
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -277,33 +314,31 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``encoded`` with ``into``: the text of each row's ids, as ``decode(ids, skip_special_tokens=False)`` gives it."""
     blocks = _blocks(encoded, ids, lambda: lambda x: np.frombuffer(x or b"", "<u4").tolist(), "bigint", False)
-    schema = _appended(encoded, into, "string")
 
-    def make(rows, own):
-        words = word_table(path)
-        return _taken(rows, schema, {into: pa.array([words.text_of(list(map(own.__getitem__, p))) for p in _places(rows)], pa.string())})
+    def make(places, told):
+        words, own = word_table(path), _by_place(told.get("parts"), "piece")
+        return {into: pa.array([words.text_of(list(map(own.__getitem__, p))) for p in places], pa.string())}
 
-    return _joined_back(blocks, _entries(blocks, "id").join(pieces(encoded.sparkSession, path), "id"), ["piece"], make, schema)
+    lists = _lists(_entries(blocks, "id").join(pieces(encoded.sparkSession, path), "id"), "place", "piece")
+    return _joined_back(blocks, lists, make, _appended(encoded, into, "string"))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and decoded text of each document of ``docs``: the distinct words are decoded, and joined back with their ids."""
-    blocks, entries, known = _word_blocks(docs.select("doc_id", "text"), path, "text", True)
-    each = known.where(F.length("ids") > 0).select("word", "n", "ids", F.posexplode("numbers").alias("nth", "id"))
-    decoded = each.join(pieces(docs.sparkSession, path), "id").groupBy("word").agg(F.first("n").alias("n"), F.first("ids").alias("ids"), F.transform(F.array_sort(F.collect_list(F.struct("nth", "piece"))), lambda x: x["piece"]).alias("pieces"))
-    none = known.where(F.length("ids") == 0).select("word", "n", "ids", F.array().cast("array<binary>").alias("pieces"))
-    decoded = materialize(decoded.unionByName(none), "bpe-pieces")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
-
-    def make(rows, own, told):
-        words, places = word_table(path), _places(rows)
-        joint = b" " if words.joined else b""
-        told = [joint.join(x) for x in told]
-        whole = all(own)
-        texts = [joint.join(map(told.__getitem__, p if whole else [k for k in p if own[k]])).decode("utf-8", "replace") for p in places]
-        return _taken(rows, schema, {"ids": pa.array([b"".join(map(own.__getitem__, p)) for p in places], pa.binary()), "decoded": pa.array(texts, pa.string())})
-
-    return _joined_back(blocks, join_split(entries, decoded, ["word"], F.col("block"), _total(known)), ["ids", "pieces"], make, schema)
+    """doc_id, ids and decoded text of each document: the distinct ids of a block are joined with their pieces before its texts are put together."""
+    blocks, lists = _word_lists(docs.select("doc_id", "text"), path, "text", True)
+    distinct = lists.select("block", F.explode(F.array_distinct(F.flatten(F.transform("parts", lambda p: p["ids"])))).alias("id"))
+    told = distinct.join(pieces(docs.sparkSession, path), "id").groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
+
+    def make(places, told):
+        words, own = word_table(path), _by_place(told.get("parts"), "ids")
+        piece, joint = {p["id"]: p["piece"] for p in told.get("pieces") or ()}, b" " if words.joined else b""
+        text = {k: joint.join(map(piece.__getitem__, x)) for k, x in own.items() if x}
+        own = {k: packed(x) for k, x in own.items()}
+        whole = len(text) == len(own)  # a word may have no ids
+        texts = [joint.join(map(text.__getitem__, p if whole else [k for k in p if k in text])).decode("utf-8", "replace") for p in places]
+        return {"ids": pa.array([b"".join(map(own.__getitem__, p)) for p in places], pa.binary()), "decoded": pa.array(texts, pa.string())}
+
+    return _joined_back(blocks, lists.join(told, "block", "left"), make, T.StructType.fromDDL("doc_id bigint, ids binary, decoded string"))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

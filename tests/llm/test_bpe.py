@@ -90,6 +90,31 @@ def test_token_files(spark, docs_of):
         files.Block(b"nope" + bytes(60))
 
 
+def test_places_in_few_bytes():
+    pick = np.random.default_rng(2)
+    for values in ([], [0], [127, 128, 16383, 16384, (1 << 32) - 1], pick.integers(0, 1 << 20, 1000)):
+        raw, ends = bpe.varints(np.array(values, np.uint64))
+        assert bpe.numbers(raw).tolist() == list(values) and len(ends) == len(values) and (not len(ends) or ends[-1] == len(raw))
+
+
+def test_words_of_many_blocks(docs_of, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 200)
+    path = bpe.vocabulary("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = [f"the the common words and own{i} " * (i % 7) for i in range(200)]
+    docs = docs_of(texts)
+    encoded = bpe.encode(docs, path)
+    for r in bpe.decode(encoded, path).collect():
+        want = ids_of(tokenizer, texts[r["doc_id"]])
+        assert np.frombuffer(r["ids"], "<u4").tolist() == want and r["decoded"] == tokenizer.decode(want, skip_special_tokens=False)
+    broken = [b"", [255, 254], [0xC3], [0xE2, 0x82], [0xF0, 0x9F, 0x98, 0x41]]  # bytes that are no text
+    letters = {c: i for i, c in enumerate(bpe.byte_letters())}
+    table = bpe.WordTable(path)
+    for raw in broken:
+        ids = [table.pieces.index(bpe.byte_letters()[b]) for b in raw]
+        assert table.decode(bpe.packed(ids)) == tokenizer.decode(ids, skip_special_tokens=False) and len(letters) == 256
+
+
 def test_query_of_files(spark, sf, documents):
     import zlib
 

@@ -2,11 +2,11 @@
 
 Texts are split into the tokenizer's own words, block by block (about ``BLOCK_BYTES`` of texts, or one longer text): a
 block's distinct words are listed once, and each text keeps the places of its words in that list, in one to five
-bytes each.  The lists of all blocks are shuffled by word, where each distinct word is encoded once by the tokenizers
-library, and the ids go back to the blocks that hold the word, and from there by the packed places to the texts.
-Decoding joins the distinct ids of a block with the id-to-piece table, and puts pieces in the ids' places.  So a word
-costs a shuffled row for each block it stands in and not for each place it stands at: the commonest word has as many
-rows as there are blocks, one in tens of thousands of all, and they pass its task as a stream.
+bytes each.  The lists are dealt into buckets by a hash of the word, a packed row a block and bucket; a bucket
+(about ``BUCKET`` words) is a part of the table of distinct words, and each of its words is encoded once by the tokenizers
+library.  The ids go back to the blocks that hold the word, and from there by the packed places to the texts.  Decoding
+joins the blocks with the id-to-piece table, and puts pieces in the ids' places.  So a word is shuffled once for each
+block it stands in and not for each place it stands at, and the commonest word costs no more than any other of a block.
 
 Special-token strings in a text are what the library makes of them: single special ids.  The splitting rules here
 cover code points below U+0300; a text with any other is split by the library's normalizer and pre-tokenizer, and its
@@ -27,6 +27,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,7 +121,7 @@ class WordTable:
         self.special_of, self.special_ids = special, set(special.values())
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.pieces = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
-        self.joined = plan["decoder"] is None
+        self.joined, self.width = plan["decoder"] is None, 2 if len(self.pieces) <= 1 << 16 else 4
         self.byte = {c: chr(b) for b, c in enumerate(byte_letters())}
         self.table, self.most = _Ids(self.tokenizer, self.special), words
 
@@ -179,8 +180,9 @@ def _append(batch: pa.RecordBatch, field: str, column: pa.Array) -> pa.RecordBat
 
 
 #: Names of the columns that these operators add in between; no column of the input is called so.
-BLOCK, PLACES, LIST = "own block", "own places", "own list"
-BLOCK_BYTES = 8 << 20
+BLOCK, PLACES, LIST, SIZE = "own block", "own places", "own list", "own size"
+#: Text of a block, and words that the blocks list in a bucket.
+BLOCK_BYTES, BUCKET = 8 << 20, 200_000
 
 
 def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,90 +221,141 @@ def _gathered(batches, column: str, limit: int):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _blocks(df: DataFrame, column: str, split, kind: str, drop: bool) -> DataFrame:
-    """``df`` with the block of each row, the places of its parts in the block's list, and on one row of each block that list.
+def _blocks(df: DataFrame, column: str, split, drop: bool) -> DataFrame:
+    """``df`` with the block of each row, the places of its words in the block's list, and on one row of each block that list.
 
-    ``split``: makes the function that cuts a value into parts, in the worker; ``kind``: the SQL type of a part.
+    ``split``: makes the function that cuts a value into words, in the worker.  A list begins with the commonest words.
     """
     kept = [f for f in df.schema if not (drop and f.name == column)]
-    schema = T.StructType([*kept, T.StructField(BLOCK, T.LongType()), T.StructField(PLACES, T.BinaryType()), T.StructField(LIST, T.ArrayType(T.DataType.fromDDL(kind)))])
-    names, listed = [f.name for f in schema], pa.list_(pa.string() if kind == "string" else pa.int64())
+    schema = T.StructType([*kept, T.StructField(BLOCK, T.LongType()), T.StructField(PLACES, T.BinaryType()), T.StructField(LIST, T.ArrayType(T.StringType())), T.StructField(SIZE, T.LongType())])
+    names = [f.name for f in schema]
 
     def run(batches):
         cut, block = split(), TaskContext.get().partitionId() << 33
         for batch in _gathered(batches, column, BLOCK_BYTES):
-            places = _Places()
-            found = [np.fromiter(map(places.__getitem__, cut(x)), np.uint64) for x in batch.column(column).to_pylist()]
-            raw, ends = varints(np.concatenate(found))
-            ends, raw = np.concatenate(([0], ends))[np.cumsum([0, *map(len, found)])].tolist(), raw.tobytes()
-            rows = [raw[a:b] for a, b in pairwise(ends)]
-            own = [list(places), *[None] * (len(rows) - 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.binary()), pa.array(own, listed)], names)
+            met = _Places()
+            found = [np.fromiter(map(met.__getitem__, cut(x)), np.int64) for x in batch.column(column).to_pylist()]
+            every = np.concatenate(found)
+            order = np.argsort(-np.bincount(every, minlength=len(met)), kind="stable")
+            rank = np.empty(len(met), np.uint64)
+            rank[order] = np.arange(len(met), dtype=np.uint64)
+            words = list(met)
+            rows = _cut(*varints(rank[every]), list(map(len, found)))
+            own = [[words[k] for k in order.tolist()], *[None] * (len(rows) - 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.binary()), pa.array(own, pa.list_(pa.string())), pa.array([len(words), *[0] * (len(rows) - 1)], pa.int64())], names)
             block += 1
 
     return materialize(df.mapInArrow(run, schema), "bpe-blocks")
 
 
-def _entries(blocks: DataFrame, part: str) -> DataFrame:
-    """(block, place, part): the blocks' lists as rows."""
-    return blocks.where(F.col(LIST).isNotNull()).select(F.col(BLOCK).alias("block"), F.posexplode(LIST).alias("place", part))
+def _cut(raw: np.ndarray, ends: np.ndarray, counts: list[int]) -> list[bytes]:
+    """The bytes of so many numbers each."""
+    at, raw = np.concatenate(([0], ends))[np.cumsum([0, *counts])].tolist(), raw.tobytes()
+    return [raw[a:b] for a, b in pairwise(at)]
 
 
-def _lists(entries: DataFrame, *fields: str) -> DataFrame:
-    """The entries of each block as one row: never more than the words of a block."""
-    return entries.groupBy("block").agg(F.collect_list(F.struct(*fields)).alias("parts"))
+def _packed_strings(parts: list[bytes]) -> tuple[bytes, bytes]:
+    return varints(np.array(list(map(len, parts)), np.uint64))[0].tobytes(), b"".join(parts)
 
 
-def _joined_back(blocks: DataFrame, lists: DataFrame, make, schema: T.StructType) -> DataFrame:
-    """``make`` gets the places of each of a block's rows and what its list became, and tells the columns to add."""
+def _strings(sizes: bytes, raw: bytes) -> list[bytes]:
+    ends = np.cumsum(numbers(np.frombuffer(sizes, np.uint8))).tolist()
+    return [raw[a:b] for a, b in pairwise([0, *ends])]
 
-    def run(rows: pa.Table, parts: pa.Table) -> pa.Table:
-        places = [numbers(np.frombuffer(x, np.uint8)).tolist() for x in rows.column(PLACES).to_pylist()]
-        more = make(places, parts.to_pylist()[0] if len(parts) else {})
-        return pa.Table.from_arrays([more[f.name] if f.name in more else rows.column(f.name) for f in schema], [f.name for f in schema])
 
-    return blocks.drop(LIST).groupBy(BLOCK).cogroup(lists.groupBy("block")).applyInArrow(run, schema)
+WORD_ROWS = "bucket bigint, block bigint, places binary, sizes binary, words binary"
+ID_ROWS = "bucket bigint, block bigint, places binary, sizes binary, ids binary"
 
 
-def _by_place(parts: list[dict] | None, value: str) -> dict:
-    return {p["place"]: p[value] for p in parts or ()}
+def _arrow(ddl: str) -> pa.Schema:
+    return pa.schema([(f.split()[0], pa.int64() if f.endswith("bigint") else pa.binary()) for f in ddl.split(", ")])
 
 
-ENCODED = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("ids", pa.list_(pa.int32()))])
+def _dealt(buckets: int):
+    """The words of a block's list in each bucket, and their places (as steps from one to the next)."""
+
+    def run(batches):
+        for batch in batches:
+            for block, words in zip(batch.column(BLOCK).to_pylist(), batch.column(LIST).to_pylist(), strict=True):
+                raw = [w.encode() for w in words]
+                bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                first = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order].astype(np.int64))) + 1, [len(order)])) if len(order) else [0]
+                out = []
+                for a, b in pairwise(first):
+                    own = order[a:b]
+                    out.append((int(bucket[own[0]]), block, varints(np.diff(own, prepend=0).astype(np.uint64))[0].tobytes(), *_packed_strings([raw[k] for k in own.tolist()])))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _arrow(WORD_ROWS), strict=True)], schema=_arrow(WORD_ROWS))
+
+    return run
 
 
-def _word_lists(docs: DataFrame, path: str, text: str, drop: bool) -> tuple[DataFrame, DataFrame]:
-    """Blocks of ``docs``, and for each the ids of the words of its list: every distinct word of all texts is encoded once."""
+def _encoded(path: str):
+    """The ids of each row's words; rows come bucket by bucket, and a bucket's words are encoded once."""
+
+    def run(batches):
+        found, last, known, width = word_table(path), None, {}, word_table(path).width
+        for batch in batches:
+            out = []
+            for bucket, block, places, sizes, words in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if bucket != last:
+                    last, known = bucket, {}
+                ids = []
+                for w in _strings(sizes, words):
+                    own = known.get(w)
+                    if own is None:
+                        known[w] = own = np.array(found.ids(w.decode()), f"<u{width}").tobytes()
+                    ids.append(own)
+                out.append((bucket, block, places, *_packed_strings(ids)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _arrow(ID_ROWS), strict=True)], schema=_arrow(ID_ROWS))
+
+    return run
+
+
+def _word_ids(docs: DataFrame, path: str, text: str, drop: bool) -> tuple[DataFrame, DataFrame]:
+    """Blocks of ``docs``, and for each block and bucket the ids of the words: every distinct word of all texts is encoded once."""
 
     def split():
         words = word_table(path).words
         return lambda t: words(t or "")
 
-    def run(batches):
-        found, last, own = word_table(path), None, []
-        for batch in batches:  # in the order of the words
-            ids = []
-            for word in batch.column("word").to_pylist():
-                if word != last:
-                    last, own = word, found.ids(word)
-                ids.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), pa.array(ids, pa.list_(pa.int32()))], schema=ENCODED)
+    blocks = _blocks(docs, text, split, drop)
+    buckets = 1 + (blocks.agg(F.sum(SIZE)).first()[0] or 0) // BUCKET
+    lists = blocks.where(F.col(LIST).isNotNull()).select(BLOCK, LIST).mapInArrow(_dealt(buckets), WORD_ROWS)
+    dealt = lists.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return blocks, dealt.mapInArrow(_encoded(path), ID_ROWS)
+
+
+def _ids_by_place(parts: pa.Table, width: int) -> dict[int, np.ndarray]:
+    out = {}
+    for places, sizes, ids in zip(*(parts.column(k).to_pylist() for k in ("places", "sizes", "ids")), strict=True):
+        own = [np.frombuffer(x, f"<u{width}").astype("<u4") for x in _strings(sizes, ids)]
+        out.update(zip(np.cumsum(numbers(np.frombuffer(places, np.uint8))).tolist(), own, strict=True))
+    return out
 
-    blocks = _blocks(docs, text, split, "string", drop)
-    entries = _entries(blocks, "word").repartition(partitions(docs.sparkSession), "word").sortWithinPartitions("word")
-    encoded = entries.mapInArrow(run, T.StructType([T.StructField("block", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-    return blocks, _lists(encoded, "place", "ids")
+
+def _joined_back(blocks: DataFrame, parts: DataFrame, make, schema: T.StructType) -> DataFrame:
+    """``make`` gets the places of each of a block's rows and the block's ``parts``, and tells the columns to add."""
+
+    def run(rows: pa.Table, parts: pa.Table) -> pa.Table:
+        places = [numbers(np.frombuffer(x, np.uint8)).tolist() for x in rows.column(PLACES).to_pylist()]
+        more = make(places, parts)
+        return pa.Table.from_arrays([more[f.name] if f.name in more else rows.column(f.name) for f in schema], [f.name for f in schema])
+
+    return blocks.drop(LIST, SIZE).groupBy(BLOCK).cogroup(parts.groupBy("block")).applyInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit) for each whole text."""
-    blocks, lists = _word_lists(docs, path, text, False)
+    blocks, parts = _word_ids(docs, path, text, False)
 
-    def make(places, told):
-        own = {k: packed(x) for k, x in _by_place(told.get("parts"), "ids").items()}
+    def make(places, parts):
+        own = {k: x.tobytes() for k, x in _ids_by_place(parts, word_table(path).width).items()}
         return {ids: pa.array([b"".join(map(own.__getitem__, p)) for p in places], pa.binary())}
 
-    return _joined_back(blocks, lists, make, _appended(docs, ids, "binary"))
+    return _joined_back(blocks, parts, make, _appended(docs, ids, "binary"))
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -312,33 +365,47 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """``encoded`` with ``into``: the text of each row's ids, as ``decode(ids, skip_special_tokens=False)`` gives it."""
-    blocks = _blocks(encoded, ids, lambda: lambda x: np.frombuffer(x or b"", "<u4").tolist(), "bigint", False)
+    """``encoded`` with ``into``: the text of each row's ids, as ``decode(ids, skip_special_tokens=False)`` gives it.
+
+    The distinct ids of each block are joined with the id-to-piece table.
+    """
+    blocks = _blocks(encoded, ids, lambda: lambda x: map(str, np.frombuffer(x or b"", "<u4").tolist()), False)
 
-    def make(places, told):
-        words, own = word_table(path), _by_place(told.get("parts"), "piece")
+    def make(places, parts):
+        words, own = word_table(path), dict(zip(parts.column("place").to_pylist(), parts.column("piece").to_pylist(), strict=True))
         return {into: pa.array([words.text_of(list(map(own.__getitem__, p))) for p in places], pa.string())}
 
-    lists = _lists(_entries(blocks, "id").join(pieces(encoded.sparkSession, path), "id"), "place", "piece")
-    return _joined_back(blocks, lists, make, _appended(encoded, into, "string"))
+    entries = blocks.where(F.col(LIST).isNotNull()).select(F.col(BLOCK).alias("block"), F.posexplode(LIST).alias("place", "id"))
+    told = entries.withColumn("id", F.col("id").cast("bigint")).join(pieces(encoded.sparkSession, path), "id").select("block", "place", "piece")
+    return _joined_back(blocks, told, make, _appended(encoded, into, "string"))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and decoded text of each document: the distinct ids of a block are joined with their pieces before its texts are put together."""
-    blocks, lists = _word_lists(docs.select("doc_id", "text"), path, "text", True)
-    distinct = lists.select("block", F.explode(F.array_distinct(F.flatten(F.transform("parts", lambda p: p["ids"])))).alias("id"))
-    told = distinct.join(pieces(docs.sparkSession, path), "id").groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
-
-    def make(places, told):
-        words, own = word_table(path), _by_place(told.get("parts"), "ids")
-        piece, joint = {p["id"]: p["piece"] for p in told.get("pieces") or ()}, b" " if words.joined else b""
-        text = {k: joint.join(map(piece.__getitem__, x)) for k, x in own.items() if x}
-        own = {k: packed(x) for k, x in own.items()}
+    """doc_id, ids and decoded text of each document.
+
+    Each block of texts is joined with the id-to-piece table, which is one packed row: a vocabulary's size bounds it.
+    """
+    blocks, parts = _word_ids(docs.select("doc_id", "text"), path, "text", True)
+    spark = docs.sparkSession
+    table = pieces(spark, path).orderBy("id").collect()  # a vocabulary
+    sizes, raw = _packed_strings([bytes(r["piece"]) for r in table])
+    packed_pieces = spark.createDataFrame([(path, sizes, raw)], "vocabulary string, piece_sizes binary, pieces binary")
+    # an empty list of words stands for each block, and takes the table; the other rows take none
+    each = blocks.where(F.col(LIST).isNotNull()).select(F.lit(-1).cast("bigint").alias("bucket"), F.col(BLOCK).alias("block"), *(F.lit(b"").alias(k) for k in ("places", "sizes", "ids")))
+    each = each.withColumn("vocabulary", F.lit(path)).join(F.broadcast(packed_pieces), "vocabulary").drop("vocabulary")
+    parts = parts.withColumns({"piece_sizes": F.lit(None).cast("binary"), "pieces": F.lit(None).cast("binary")}).unionByName(each)
+
+    def make(places, parts):
+        words, own = word_table(path), _ids_by_place(parts, word_table(path).width)
+        told = parts.select(["piece_sizes", "pieces"]).filter(parts.column("bucket").to_numpy() == -1).to_pylist()[0]
+        piece, joint = _strings(told["piece_sizes"], told["pieces"]), b" " if words.joined else b""
+        text = {k: joint.join(map(piece.__getitem__, x.tolist())) for k, x in own.items() if len(x)}
         whole = len(text) == len(own)  # a word may have no ids
+        own = {k: x.tobytes() for k, x in own.items()}
         texts = [joint.join(map(text.__getitem__, p if whole else [k for k in p if k in text])).decode("utf-8", "replace") for p in places]
         return {"ids": pa.array([b"".join(map(own.__getitem__, p)) for p in places], pa.binary()), "decoded": pa.array(texts, pa.string())}
 
-    return _joined_back(blocks, lists.join(told, "block", "left"), make, T.StructType.fromDDL("doc_id bigint, ids binary, decoded string"))
+    return _joined_back(blocks, parts, make, T.StructType.fromDDL("doc_id bigint, ids binary, decoded string"))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -8,6 +8,10 @@ library.  The ids go back to the blocks that hold the word, and from there by th
 joins the blocks with the id-to-piece table, and puts pieces in the ids' places.  So a word is shuffled once for each
 block it stands in and not for each place it stands at, and the commonest word costs no more than any other of a block.
 
+Blocks are cut from the rows as they come, once for the lists and once for the texts, so that neither is written twice;
+a block's key is a hash of what it holds.  A table that gives its rows in another order when it is read again (one that
+was not written) is noticed by a key that lacks its ids, and ends the query rather than giving a wrong text.
+
 Special-token strings in a text are what the library makes of them: single special ids.  The splitting rules here
 cover code points below U+0300; a text with any other is split by the library's normalizer and pre-tokenizer, and its
 words go through the same table.  ``WordTable`` is the same for a single worker: it keeps the ids of up to twice
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import materialize, partitions, single_thread, steps, table
+from loomtext.llm.common import partitions, single_thread, steps, table
 
 #: Words whose ids a worker keeps before it starts a new half of its table.
 WORDS = 100_000
@@ -180,9 +184,9 @@ def _append(batch: pa.RecordBatch, field: str, column: pa.Array) -> pa.RecordBat
 
 
 #: Names of the columns that these operators add in between; no column of the input is called so.
-BLOCK, PLACES, LIST, SIZE = "own block", "own places", "own list", "own size"
-#: Text of a block, and words that the blocks list in a bucket.
-BLOCK_BYTES, BUCKET = 8 << 20, 200_000
+BLOCK, PLACES = "own block", "own places"
+#: Text of a block, and of the blocks whose words make up a bucket.
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 
 
 def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,31 +225,37 @@ def _gathered(batches, column: str, limit: int):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _blocks(df: DataFrame, column: str, split, drop: bool) -> DataFrame:
-    """``df`` with the block of each row, the places of its words in the block's list, and on one row of each block that list.
-
-    ``split``: makes the function that cuts a value into words, in the worker.  A list begins with the commonest words.
+def _blocks(batches, column: str, cut):
+    """(batch, key, words, place of each word, words of each row); a block's list begins with its commonest words."""
+    part = TaskContext.get().partitionId()
+    for batch in _gathered(batches, column, BLOCK_BYTES):
+        met = _Places()
+        found = [np.fromiter(map(met.__getitem__, cut(x)), np.int64) for x in batch.column(column).to_pylist()]
+        every, counts, words = np.concatenate(found), list(map(len, found)), list(met)
+        order = np.argsort(-np.bincount(every, minlength=len(met)), kind="stable")
+        rank = np.empty(len(met), np.uint64)
+        rank[order] = np.arange(len(met), dtype=np.uint64)
+        places, words = rank[every], [words[k] for k in order.tolist()]
+        key = xxhash.xxh3_64(part.to_bytes(4, "little") + np.array(counts, "<u4").tobytes())
+        key.update(places.tobytes())
+        for w in words:
+            key.update(w.encode() + b"\0")
+        yield batch, key.intdigest() - (1 << 63), words, places, counts
+
+
+def _rows(df: DataFrame, column: str, split, drop: bool) -> DataFrame:
+    """``df`` with the block of each row and the places of its words in the block's list.
+
+    ``split``: makes the function that cuts a value into words, in the worker.
     """
     kept = [f for f in df.schema if not (drop and f.name == column)]
-    schema = T.StructType([*kept, T.StructField(BLOCK, T.LongType()), T.StructField(PLACES, T.BinaryType()), T.StructField(LIST, T.ArrayType(T.StringType())), T.StructField(SIZE, T.LongType())])
-    names = [f.name for f in schema]
+    schema = T.StructType([*kept, T.StructField(BLOCK, T.LongType()), T.StructField(PLACES, T.BinaryType())])
 
     def run(batches):
-        cut, block = split(), TaskContext.get().partitionId() << 33
-        for batch in _gathered(batches, column, BLOCK_BYTES):
-            met = _Places()
-            found = [np.fromiter(map(met.__getitem__, cut(x)), np.int64) for x in batch.column(column).to_pylist()]
-            every = np.concatenate(found)
-            order = np.argsort(-np.bincount(every, minlength=len(met)), kind="stable")
-            rank = np.empty(len(met), np.uint64)
-            rank[order] = np.arange(len(met), dtype=np.uint64)
-            words = list(met)
-            rows = _cut(*varints(rank[every]), list(map(len, found)))
-            own = [[words[k] for k in order.tolist()], *[None] * (len(rows) - 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.binary()), pa.array(own, pa.list_(pa.string())), pa.array([len(words), *[0] * (len(rows) - 1)], pa.int64())], names)
-            block += 1
-
-    return materialize(df.mapInArrow(run, schema), "bpe-blocks")
+        for batch, key, _, places, counts in _blocks(batches, column, split()):
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array([key] * len(batch), pa.int64()), pa.array(_cut(*varints(places), counts), pa.binary())], [f.name for f in schema])
+
+    return df.mapInArrow(run, schema)
 
 
 def _cut(raw: np.ndarray, ends: np.ndarray, counts: list[int]) -> list[bytes]:
@@ -271,22 +281,21 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(f.split()[0], pa.int64() if f.endswith("bigint") else pa.binary()) for f in ddl.split(", ")])
 
 
-def _dealt(buckets: int):
+def _dealt(column: str, split, buckets: int):
     """The words of a block's list in each bucket, and their places (as steps from one to the next)."""
 
     def run(batches):
-        for batch in batches:
-            for block, words in zip(batch.column(BLOCK).to_pylist(), batch.column(LIST).to_pylist(), strict=True):
-                raw = [w.encode() for w in words]
-                bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                first = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order].astype(np.int64))) + 1, [len(order)])) if len(order) else [0]
-                out = []
-                for a, b in pairwise(first):
-                    own = order[a:b]
-                    out.append((int(bucket[own[0]]), block, varints(np.diff(own, prepend=0).astype(np.uint64))[0].tobytes(), *_packed_strings([raw[k] for k in own.tolist()])))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _arrow(WORD_ROWS), strict=True)], schema=_arrow(WORD_ROWS))
+        for _, key, words, _, _ in _blocks(batches, column, split()):
+            raw = [w.encode() for w in words]
+            bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64) % np.uint64(buckets)
+            order, out = np.argsort(bucket, kind="stable"), []
+            edges = [0, *(np.flatnonzero(np.diff(bucket[order].astype(np.int64))) + 1).tolist(), len(order)]
+            for a, b in pairwise(edges if len(order) else [0]):
+                own = order[a:b]
+                out.append((int(bucket[own[0]]), key, varints(np.diff(own, prepend=0).astype(np.uint64))[0].tobytes(), *_packed_strings([raw[k] for k in own.tolist()])))
+            # an empty row of a bucket below zero stands for the block itself
+            out.append((-1 - key % (1 << 30), key, b"", b"", b""))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _arrow(WORD_ROWS), strict=True)], schema=_arrow(WORD_ROWS))
 
     return run
 
@@ -321,11 +330,10 @@ def _word_ids(docs: DataFrame, path: str, text: str, drop: bool) -> tuple[DataFr
         words = word_table(path).words
         return lambda t: words(t or "")
 
-    blocks = _blocks(docs, text, split, drop)
-    buckets = 1 + (blocks.agg(F.sum(SIZE)).first()[0] or 0) // BUCKET
-    lists = blocks.where(F.col(LIST).isNotNull()).select(BLOCK, LIST).mapInArrow(_dealt(buckets), WORD_ROWS)
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    lists = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(_dealt("text", split, 1 + size // BUCKET_BYTES), WORD_ROWS)
     dealt = lists.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return blocks, dealt.mapInArrow(_encoded(path), ID_ROWS)
+    return _rows(docs, text, split, drop), dealt.mapInArrow(_encoded(path), ID_ROWS)
 
 
 def _ids_by_place(parts: pa.Table, width: int) -> dict[int, np.ndarray]:
@@ -344,7 +352,7 @@ def _joined_back(blocks: DataFrame, parts: DataFrame, make, schema: T.StructType
         more = make(places, parts)
         return pa.Table.from_arrays([more[f.name] if f.name in more else rows.column(f.name) for f in schema], [f.name for f in schema])
 
-    return blocks.drop(LIST, SIZE).groupBy(BLOCK).cogroup(parts.groupBy("block")).applyInArrow(run, schema)
+    return blocks.groupBy(BLOCK).cogroup(parts.groupBy("block")).applyInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -369,15 +377,20 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded
 
     The distinct ids of each block are joined with the id-to-piece table.
     """
-    blocks = _blocks(encoded, ids, lambda: lambda x: map(str, np.frombuffer(x or b"", "<u4").tolist()), False)
+    split = lambda: lambda x: map(str, np.frombuffer(x or b"", "<u4").tolist())
+    schema = pa.schema([("block", pa.int64()), ("place", pa.int64()), ("id", pa.int64())])
+
+    def distinct(batches):
+        for _, key, words, _, _ in _blocks(batches, "ids", split()):
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(words), pa.int64()), pa.array(range(len(words)), pa.int64()), pa.array(map(int, words), pa.int64())], schema=schema)
 
     def make(places, parts):
         words, own = word_table(path), dict(zip(parts.column("place").to_pylist(), parts.column("piece").to_pylist(), strict=True))
         return {into: pa.array([words.text_of(list(map(own.__getitem__, p))) for p in places], pa.string())}
 
-    entries = blocks.where(F.col(LIST).isNotNull()).select(F.col(BLOCK).alias("block"), F.posexplode(LIST).alias("place", "id"))
-    told = entries.withColumn("id", F.col("id").cast("bigint")).join(pieces(encoded.sparkSession, path), "id").select("block", "place", "piece")
-    return _joined_back(blocks, told, make, _appended(encoded, into, "string"))
+    entries = encoded.select(F.col(f"`{ids}`").alias("ids")).mapInArrow(distinct, "block bigint, place bigint, id bigint")
+    told = entries.join(pieces(encoded.sparkSession, path), "id").select("block", "place", "piece")
+    return _joined_back(_rows(encoded, ids, split, False), told, make, _appended(encoded, into, "string"))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -390,14 +403,12 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     table = pieces(spark, path).orderBy("id").collect()  # a vocabulary
     sizes, raw = _packed_strings([bytes(r["piece"]) for r in table])
     packed_pieces = spark.createDataFrame([(path, sizes, raw)], "vocabulary string, piece_sizes binary, pieces binary")
-    # an empty list of words stands for each block, and takes the table; the other rows take none
-    each = blocks.where(F.col(LIST).isNotNull()).select(F.lit(-1).cast("bigint").alias("bucket"), F.col(BLOCK).alias("block"), *(F.lit(b"").alias(k) for k in ("places", "sizes", "ids")))
-    each = each.withColumn("vocabulary", F.lit(path)).join(F.broadcast(packed_pieces), "vocabulary").drop("vocabulary")
-    parts = parts.withColumns({"piece_sizes": F.lit(None).cast("binary"), "pieces": F.lit(None).cast("binary")}).unionByName(each)
+    # the row that stands for a block takes the table
+    parts = parts.withColumn("vocabulary", F.when(F.col("bucket") < 0, F.lit(path))).join(F.broadcast(packed_pieces), "vocabulary", "left").drop("vocabulary")
 
     def make(places, parts):
         words, own = word_table(path), _ids_by_place(parts, word_table(path).width)
-        told = parts.select(["piece_sizes", "pieces"]).filter(parts.column("bucket").to_numpy() == -1).to_pylist()[0]
+        told = parts.select(["piece_sizes", "pieces"]).filter(parts.column("bucket").to_numpy() < 0).to_pylist()[0]
         piece, joint = _strings(told["piece_sizes"], told["pieces"]), b" " if words.joined else b""
         text = {k: joint.join(map(piece.__getitem__, x.tolist())) for k, x in own.items() if len(x)}
         whole = len(text) == len(own)  # a word may have no ids

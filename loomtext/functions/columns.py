@@ -20,18 +20,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtext.plans import classes as C
-from loomtext.plans.build import Blank, Joined, Pick0, lift
+from loomtext.plans.build import FIELDS, Blank, Joined, Pick0, Whole, lift
+from loomtext.plans.classes import java_char
 from loomtext.plans.java import Emitter, is_regular, nullable, recursion_check, regex
 from loomtext.plans.matcher import BUDGET, Program, compiled
 from loomtext.plans.nodes import (
     Alt, Atomic, Cap, Char, Const, Constant, Date, Effect, Look, Map, Named, Node, NotRegular, Number, Opt, Pick, Ref, Rep,
-    Seq, Text, as_type,
+    Seq, Text, Words, as_type,
 )
 
 CAPTURE = "struct<idx:int,name:string,text:string,start:bigint,stop:bigint>"
 MATCH = f"struct<match:string,offset:bigint,after:bigint,captures:array<{CAPTURE}>>"
 
 
+#: Entries of a dictionary with results that are written into the plan; larger ones run in the matcher, or as a join.
+MOST_LITERALS = 256
+
+
 # -- the regular tier -------------------------------------------------------------------------
 
 
@@ -56,6 +61,14 @@ class _Columns:
             if p.base != 10:
                 return lambda at: F.coalesce(F.conv(F.nullif(own(at), F.lit("")), p.base, 10).cast("bigint"), F.lit(p.empty))
             return lambda at: F.coalesce(own(at).try_cast(kind), F.lit(p.empty)) if p.empty is not None else own(at).try_cast(kind)
+        if isinstance(p, Words):
+            own = self.mark(p)
+            if p.kinds is None:
+                return own
+            known = p.words()
+            if not 0 < len(known) <= MOST_LITERALS:
+                raise NotRegular("a dictionary with too many results for a literal")
+            return lambda at: F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), own(at))
         if isinstance(p, Constant):
             return lambda at: F.lit(p.result)
         if isinstance(p, Pick):
@@ -177,8 +190,53 @@ def _plan(p: Node) -> tuple[Node, "_Columns", Callable]:
     return p, plan, made
 
 
+def _named(p: Node) -> Node:
+    while isinstance(p, Named):
+        p = p.of
+    return p
+
+
+def _dates(p: Date) -> Callable[[Column], Column]:
+    """A date at the start of a text by its formats, each tried as it stands and with its last figure cut."""
+
+    def read(f: str, column: Column) -> list[Column]:
+        codes, parts, at = [], [], 0
+        while at < len(f):
+            if (code := f[at : at + 2]) in FIELDS and code not in codes:
+                codes.append(code)
+                parts.append(f"({FIELDS[code]})")
+                at += 2
+            elif f[at] == "%":
+                raise NotRegular("a date's code that Spark reads otherwise")
+            else:
+                parts.append(java_char(f[at]))
+                at += 1
+        if not {"%Y", "%m", "%d"} <= set(codes):
+            raise NotRegular("a date without year, month or day")
+        last = codes[-1] if f.endswith(codes[-1]) else None
+        made = []
+        for cut in (False, True) if last not in (None, "%Y") else (False,):
+            shape = "".join([*parts[:-1], "([0-9])"] if cut else parts)
+            value = lambda c, shape=shape: F.regexp_extract(column, "\\A" + shape, codes.index(c) + 1).try_cast("int") if c in codes else F.lit(0)
+            found = F.try_make_timestamp_ntz(*map(value, ("%Y", "%m", "%d", "%H", "%M")), value("%S").cast("decimal(16,6)"))
+            made.append(F.when(column.rlike("\\A" + shape), found))
+        return made
+
+    return lambda column: F.coalesce(*[x for f in p.formats for x in read(f, column)]).cast(p.kind())
+
+
+def _own_function(p: Node) -> Callable[[Column], Column] | None:
+    """How Spark itself reads the pattern at the start of a text, where it has a function for it."""
+    p = _named(p)
+    if isinstance(p, Whole):
+        return p.column
+    return _dates(p) if isinstance(p, Date) else None
+
+
 def regular_column(column: Column, p: Node) -> Column:
     """The result as built-in functions; null where there is no match.  Raises NotRegular."""
+    if own := _own_function(p):
+        return own(column)
     p, plan, made = _plan(p)
     return F.when(column.rlike("\\A" + _grouped(regex(p))), made(plan.reader(column, p)))
 
@@ -186,7 +244,7 @@ def regular_column(column: Column, p: Node) -> Column:
 def tier(p) -> str:
     """``regex`` or ``matcher``."""
     try:
-        _plan(lift(p))
+        regular_column(F.lit(""), lift(p)) if _own_function(lift(p)) else _plan(lift(p))
     except NotRegular:
         return "matcher"
     return "regex"
@@ -269,16 +327,31 @@ def _binary(p: Node) -> bool:
     return any(isinstance(n, Bytes) or isinstance(n, Const) and isinstance(n.text, bytes) for n in nodes(p))
 
 
-def parse(column, p, **options) -> Column:
+def parse(column, p, kind: T.DataType | str | None = None, force: str | None = None, budget: int | None = BUDGET) -> Column:
     """As ``try_parse``, but a text that does not match ends the query with its excerpt."""
-    column = _column(column)
-    found = try_parse(column, p, **options)
-    return F.when(column.isNull(), F.lit(None)).when(matches(column, p), found).otherwise(F.raise_error(F.concat(F.lit("no match: "), F.substring(column.cast("string"), 1, 40))))
+    column, p = _column(column), lift(p)
+    wrong = F.raise_error(F.concat(F.lit("no match: "), F.substring(column.cast("string"), 1, 40)))
+    if force != "matcher":
+        try:
+            found = regular_column(column, p)
+        except NotRegular:
+            if force == "regex":
+                raise
+        else:
+            matched = found.isNotNull() if _own_function(p) else matches(column, p)
+            return F.when(column.isNull(), F.lit(None)).when(matched, found).otherwise(wrong)
+    kind = as_type(kind) or p.kind() or T.BooleanType()
+    both = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("value", kind)])
+    # one call for both: whether it matches, and the result
+    told = _run(compiled(p, budget), lambda program, t: program.attempt(t), both, column, None)
+    return F.when(column.isNull(), F.lit(None)).when(told["ok"], told["value"]).otherwise(wrong)
 
 
 def matches(column, p, force: str | None = None) -> Column:
     """Whether the pattern matches at the start."""
     column, p = _column(column), lift(p)
+    if force != "matcher" and _own_function(p):
+        return F.when(column.isNotNull(), regular_column(column, p).isNotNull())
     if force != "matcher" and is_regular(p):
         return column.rlike("\\A" + _grouped(regex(p)))
     return F.coalesce(_run(compiled(p), lambda program, t: next(program.ways(t), None) is not None, T.BooleanType(), column, None if _binary(p) else _guard(column, p)), F.when(column.isNotNull(), F.lit(False)))
@@ -301,10 +374,15 @@ def try_parse_at(column, p, kind: T.DataType | str | None = None) -> Column:
 
 
 def error_of(column, p) -> Column:
-    """struct<index, excerpt> where the pattern does not match at the start, else null."""
-    column = _column(column)
-    told = F.struct(F.lit(1).cast("bigint").alias("index"), F.substring(column, 1, 20).alias("excerpt"))
-    return F.when(column.isNotNull() & ~matches(column, p), told)
+    """struct<index, excerpt> where the pattern does not match at the start, else null.
+
+    ``index``: the position (from 1) of the furthest character that no way of the pattern could take; ``excerpt``: the text's first
+    20 characters.  Only texts that do not match leave the JVM, where a regular pattern tells which those are.
+    """
+    column, p = _column(column), lift(p)
+    failed = column if not is_regular(p) else F.when(~column.rlike("\\A" + _grouped(regex(p))), column)
+    index = _run(compiled(p), lambda program, t: program.reached(t), T.LongType(), failed, None)
+    return F.when(index.isNotNull(), F.struct(index.alias("index"), F.substring(column, 1, 20).alias("excerpt")))
 
 
 def match(column, p, start: int = 1, force: str | None = None) -> Column:

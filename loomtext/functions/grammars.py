@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from fractions import Fraction
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtext.functions.patterns import horizontal_space_maybe, newline, space_maybe, word
 from loomtext.plans import classes as C
 from loomtext.plans.build import (
-    Blank, Grammar, after, at_end, char_in, char_not_in, either, flat, integer_base, join, number, opt, raw, rep, rep1, rep_until, seq, text,
-    trim,
+    Blank, Grammar, after, caseless, at_end, char_in, char_not_in, either, flat, integer_base, join, number, opt, raw, rep, rep1, rep_until, seq, text,
+    trim, Whole,
 )
-from loomtext.plans.nodes import Alt, Char, Const, Node, Text, Wrap
+from loomtext.plans.nodes import Alt, Char, Const, Node, Text, Wrap, as_type
 
 FRACTION = "struct<num:bigint,den:bigint>"
 
@@ -61,6 +63,22 @@ def json_value() -> Node:
     return seq(gap(value), at_end)[0]
 
 
+def json_at(path: str, kind: str) -> Node:
+    """The value at a path (``$.a[0].b``) of whole JSON texts, by Spark's own reader and its Variant type; null where it is not there, or
+    not of the type.  Spark takes a text that gives a key twice for no JSON."""
+    column = lambda c: F.try_variant_get(F.try_parse_json(c), path, kind)
+    steps = [int(x[1:-1]) if x[0] == "[" else x.strip(".") for x in re.findall(r"\[[0-9]+\]|\.[^.\[]+", path)]
+
+    def walked(value):
+        for step in steps:
+            if not (isinstance(value, dict) and step in value or isinstance(value, list) and isinstance(step, int) and step < len(value)):
+                return None
+            value = value[step]
+        return value
+
+    return Whole(json_value().map(walked, kind), column, as_type(kind))
+
+
 def bson_document() -> Node:
     """A BSON document of doubles, strings, documents, arrays, binaries, booleans, dates, nulls and integers: list of (key, value)."""
     g = Grammar()
@@ -87,13 +105,17 @@ def number_ranges() -> Node:
 
 
 def people() -> Node:
-    """Persons and their addresses, one block after another: ``Lastname, Name`` and lines ``Street 1, 12345 City``."""
-    name = text(rep1(Char(C.Category("L") | C.chars("-"))))
-    person = seq(lastname=name, name=seq(Blank(Const(",")), Blank(horizontal_space_maybe), name)[0])
+    """Persons and their addresses, one block after another: ``Lastname, Name`` or ``Name Lastname``, after a label or none, and
+    lines ``Street 1, 12345 City``, after a line with a label or none."""
+    name, gap = text(rep1(Char(C.Category("L") | C.chars("-")))), Blank(horizontal_space_maybe)
+    label = lambda word: Blank(opt(seq(caseless(Const(word)), ":", horizontal_space_maybe)))
+    ordered = seq(lastname=name, name=seq(Blank(Const(",")), gap, name)[0])
+    turned = seq(name, Blank(Const(" ")), gap, name).map(lambda x: {"lastname": x[1], "name": x[0]}, ordered.kind())
+    person = seq(label("name"), either(ordered, turned, result=ordered.kind()))[0]
     street = Text(join(name, Const(" "), 1))
     door = seq(street=street, no=seq(Blank(Const(" ")), number())[0])
     address = seq(door=door, zip=seq(Blank(Const(",")), Blank(horizontal_space_maybe), integer_base(10, 5, 5))[0], city=seq(Blank(Const(" ")), Text(join(name, Const(" "), 1)))[0])
-    block = seq(person=person, adresses=rep(seq(Blank(newline), Blank(horizontal_space_maybe), address)[0]))
+    block = seq(person=person, addresses=rep(seq(Blank(newline), gap, Blank(opt(seq(caseless(Const("address")), ":", opt(newline), horizontal_space_maybe))), address)[0]))
     return join(block, rep1(newline), 1)
 
 

@@ -11,7 +11,7 @@ from loomtext.functions import columns as K
 from loomtext.plans.build import lift
 from loomtext.plans.java import is_regular, nodes, regex, width
 from loomtext.plans.matcher import compiled
-from loomtext.plans.nodes import At, Look, as_type
+from loomtext.plans.nodes import At, Look, Words, as_type
 
 
 def match_rows(df: DataFrame, column: str, p, into: str = "found") -> DataFrame:
@@ -60,11 +60,37 @@ def lookup_prefix(df: DataFrame, keys: list[str], column: str, dictionary: DataF
     return best.select(*keys, "_best.*")
 
 
-def lookup_everywhere(df: DataFrame, key: str, column: str, dictionary: DataFrame, word: str = "word") -> DataFrame:
+#: Words of a dictionary that each task holds as one automaton; a larger one meets the texts by a join.
+MOST_WORDS = 200_000
+
+
+def lookup_everywhere(df: DataFrame, key: str, column: str, dictionary: DataFrame, word: str = "word", most: int = MOST_WORDS) -> DataFrame:
     """Every word of the dictionary at every place it stands: (key, offset, the dictionary's columns).
 
-    All pieces of a text of the dictionary's lengths are joined with it.
+    Up to ``most`` words go to the tasks as a trie, which each text is walked through, so the rows are the finds alone.  Beyond
+    that all pieces of a text of the dictionary's lengths are joined with it.
     """
+    known = [r[0] for r in dictionary.select(word).where(F.length(word) > 0).distinct().limit(most + 1).collect()]
+    if len(known) > most:
+        return _lookup_by_pieces(df, key, column, dictionary, word)
+    trie = Words.of(known).trie
+
+    def each(own, t: str) -> list:
+        out = []
+        for at in range(len(t)):
+            node, here = own, at
+            while here < len(t) and (node := node.get(t[here])) is not None:
+                here += 1
+                if "" in node:
+                    out.append({"offset": at + 1, "word": t[at:here]})
+        return out
+
+    kind = as_type("array<struct<offset:bigint,word:string>>")
+    found = df.select(key, F.explode(K._run(trie, each, kind, F.col(column), None)).alias("_m"))
+    return found.select(key, "_m.offset", F.col("_m.word").alias(word)).join(dictionary, word).select(key, "offset", *dictionary.columns)
+
+
+def _lookup_by_pieces(df: DataFrame, key: str, column: str, dictionary: DataFrame, word: str) -> DataFrame:
     lengths = sorted(r[0] for r in dictionary.select(F.length(word)).distinct().collect() if r[0])
     pieces = df.select(key, column, F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_n")).where(F.length(column) >= F.col("_n"))
     pieces = pieces.select(key, column, "_n", F.explode(F.sequence(F.lit(1), F.length(column) - F.col("_n") + 1)).alias("_i"))

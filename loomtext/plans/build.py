@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from loomtext.plans import classes as C
 from loomtext.plans.nodes import (
     MANY, Again, Alt, At, Atomic, Bytes, Cap, Char, Const, Constant, Date, Effect, Filter, Look, Map, Mapped, Memo, Named,
-    Node, Number, Opt, Range, Ref, Rep, Seq, Text, Then, Wrap, as_type,
+    Node, Number, Opt, Range, Ref, Rep, Seq, Text, Then, Words, Wrap, as_type,
 )
 
 any_char = Char(C.ANY)
@@ -212,14 +212,20 @@ class Joined(Wrap):
     infix: str = "skip"
 
 
-def words(items: list[str]) -> Alt:
-    """Greedy dictionary: longer words before their prefixes."""
-    return either(*sorted(set(items), key=lambda w: (-len(w), w)))
+def words(items: list[str] | dict, kind=None) -> Words:
+    """Greedy dictionary: the longest word, then its prefixes.  A dict maps words to results of the type ``kind``."""
+    return Words.of(items, as_type(kind) or T._infer_type(next(iter(items.values()))) if isinstance(items, dict) and items else None)
 
 
 def caseless(p) -> Node:
-    """Literals and classes of ``p`` in any case."""
-    return rewritten(lift(p), lambda n: replace(n, caseless=True) if isinstance(n, (Const, Char)) else n)
+    """Literals, classes and dictionaries of ``p`` in any case."""
+
+    def fold(n: Node) -> Node:
+        if isinstance(n, Words):
+            return either(*[Const(w, True) if n.kinds is None else Constant(Const(w, True), v) for w, v in sorted(n.words().items(), key=lambda x: (-len(x[0]), x[0]))])
+        return replace(n, caseless=True) if isinstance(n, (Const, Char)) else n
+
+    return rewritten(lift(p), fold)
 
 
 def mapped(f: Callable[[str], str], p) -> Mapped:
@@ -269,6 +275,8 @@ def backwards(p) -> Node:
     def turn(n: Node) -> Node:
         if isinstance(n, Const):
             return replace(n, text=n.text[::-1])
+        if isinstance(n, Words):
+            return Words.of({w[::-1]: w[::-1] if n.kinds is None else v for w, v in n.words().items()}, n.kinds)
         if isinstance(n, Seq):
             return replace(n, parts=n.parts[::-1], names=n.names[::-1])
         if isinstance(n, Look):
@@ -348,6 +356,8 @@ def integer_base(base: int = 10, least: int = 0, most: int = MANY) -> Number:
 
 
 #: What stands for each strptime code in a regex.
+#: Formats of these codes alone are read by Spark itself, the codes' values by name.
+FIELDS = {"%Y": r"(?!0000)[0-9]{4}", "%m": "(?:1[0-2]|0?[1-9])", "%d": "(?:3[01]|[12][0-9]|0?[1-9])", "%H": "(?:2[0-3]|1[0-9]|0?[0-9])", "%M": "(?:[1-5][0-9]|0?[0-9])", "%S": "(?:[1-5][0-9]|0?[0-9])"}
 _CODES = {"%Y": (4, 4), "%m": (1, 2), "%d": (1, 2), "%H": (1, 2), "%M": (1, 2), "%S": (1, 2), "%y": (2, 2), "%f": (1, 6)}
 
 
@@ -408,3 +418,14 @@ class Grammar:
         return rewritten(lift(p), lambda n: n)
 
 
+
+
+@dataclass(frozen=True, eq=False)
+class Whole(Wrap):
+    """A pattern of whole texts that Spark has a function of its own for: ``column`` makes the result of the text's column."""
+
+    column: Callable = None
+    result: T.DataType | None = None
+
+    def kind(self):
+        return self.result or self.of.kind()

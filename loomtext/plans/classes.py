@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 
 def java_char(c: str) -> str:
@@ -48,6 +49,13 @@ class Ranges(CharClass):
         return "".join(java_char(a) if a == b else f"{java_char(a)}-{java_char(b)}" for a, b in self.pairs) or "&&[^\\x{0}-\\x{10ffff}]"
 
 
+@lru_cache(maxsize=1)
+def categories() -> frozenset[str]:
+    """The names of Unicode's general categories and their groups."""
+    own = {unicodedata.category(chr(c)) for c in range(0x110000)}
+    return frozenset(own | {x[0] for x in own} | {"L&"})
+
+
 @dataclass(frozen=True)
 class Category(CharClass):
     """A Unicode general category (``L``, ``Lu``, ``L&`` ...)."""

@@ -20,7 +20,7 @@ BUDGET = 5_000_000
 
 
 class PartialMatch(ValueError):
-    """A text that the pattern does not match: the place reached, and the text around it."""
+    """A text that the pattern does not match: the furthest place that any way reached, and the text around it."""
 
     def __init__(self, at: int, text):
         self.index, self.excerpt = at + 1, text[max(0, at - 20) : at + 20]
@@ -46,9 +46,23 @@ class Program:
 
     def parse(self, text, at: int = 0):
         """The result at ``at``; raises PartialMatch."""
-        for ctx, end, state in self.ways(text, at):
+        ctx = self.context(text)
+        for _, end, state in self.ways(text, at, ctx):
             return self.node.value(ctx, at, end, state)
-        raise PartialMatch(at, text)
+        raise PartialMatch(max(at, ctx.far), text)
+
+    def attempt(self, text, at: int = 0) -> tuple[bool, Any]:
+        """(whether it matches at ``at``, the result), in one pass."""
+        for ctx, end, state in self.ways(text, at):
+            return True, self.node.value(ctx, at, end, state)
+        return False, None
+
+    def reached(self, text) -> int | None:
+        """The position (from 1) of the furthest character that no way could take; None where the text matches."""
+        ctx = self.context(text)
+        for _ in self.ways(text, 0, ctx):
+            return None
+        return ctx.far + 1
 
     def try_parse(self, text, at: int = 0, sentinel=None):
         try:

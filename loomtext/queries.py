@@ -14,8 +14,8 @@ from loomtext.operators import rows as R
 from loomtext.plans import classes as C
 from loomtext.plans.build import (
     Blank, P, any_char, at_end, at_start, atomic, backwards, caseless, capture, char_in, char_not_in, date, either, integer_base, join,
-    lazy, look, mapped, matched_range, memo, number, opt, raw, rep, rep1, rep_stop, rep_until, reparsed, seq, spaced, text, trim, where,
-    where_result, without,
+    lazy, look, map_deep, mapped, matched_range, memo, number, opt, raw, rep, rep1, rep_stop, rep_until, reparsed, seq, spaced, text, trim, where,
+    where_result, without, words,
 )
 from loomtext.plans.nodes import Char, Const
 from loomtext.sources.ebnf import ebnf, ebnf_text
@@ -418,6 +418,137 @@ def dictionary_everywhere(spark, sf_dir):
     return R.lookup_everywhere(table(spark, sf_dir, "part"), "p_partkey", "p_name", spark.sql(_WORDS))
 
 
+_TEXT_WORDS = "SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) AS w FROM documents)"
+
+
+def _text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), 0)).alias("word"))
+    return found.distinct()
+
+
+@query(f"""
+SELECT p_partkey, max(length(word)) AS longest FROM (SELECT p_partkey, substr(said, 1, CAST(k AS INT)) AS piece FROM
+  (SELECT p_partkey, said, unnest(generate_series(1, length(said))) AS k FROM (SELECT p_partkey, split_part(p_name, ' ', 2) || p_brand AS said FROM part)))
+  JOIN ({_TEXT_WORDS}) ON piece = word GROUP BY p_partkey""")
+def dictionary_of_texts(spark, sf_dir):
+    """The longest word of all texts (thousands of them) that a name starts with, by a join."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), "p_brand").alias("said"))
+    found = R.lookup_prefix(parts, ["p_partkey"], "said", _text_words(spark, sf_dir))
+    return found.select("p_partkey", F.length("word").cast("bigint").alias("longest"))
+
+
+@query(f"""
+SELECT conv_id, turn, count(*) AS n, CAST(sum(length(word)) AS BIGINT) AS letters FROM
+  (SELECT conv_id, turn, substr(text, CAST(i AS INT), CAST(k AS INT)) AS piece FROM
+    (SELECT conv_id, turn, text, i, unnest(generate_series(3, least(length(text) - i + 1, (SELECT max(length(word)) FROM ({_TEXT_WORDS}))))) AS k FROM
+      (SELECT conv_id, turn, text, unnest(generate_series(1, length(text))) AS i FROM conversations)))
+  JOIN ({_TEXT_WORDS}) ON piece = word GROUP BY conv_id, turn""")
+def words_everywhere(spark, sf_dir):
+    """All words of all texts at every place of the conversations, overlapping ones too, through a trie."""
+    said = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text")
+    found = R.lookup_everywhere(said, "key", "text", _text_words(spark, sf_dir))
+    return found.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.length("word")).cast("bigint").alias("letters")).select("key.*", "n", "letters")
+
+
+@query("""
+SELECT p_partkey, CASE split_part(p_brand, '#', 1) || substr(split_part(p_brand, '#', 2), 1, 1) WHEN 'Brand1' THEN 10 WHEN 'Brand2' THEN 20 WHEN 'Brand3' THEN 30 ELSE 0 END AS value FROM part""")
+def trie_values(spark, sf_dir):
+    """A dictionary with results: the longest word's, in the JVM."""
+    p = words({"Brand#1": 10, "Brand#2": 20, "Brand#3": 30, "Brand#": 0, "Brand": -1})
+    return table(spark, sf_dir, "part").select("p_partkey", K.try_parse("p_brand", p, "int").cast("int").alias("value"))
+
+
+@query("SELECT p_partkey, CASE WHEN starts_with(p_name, 'small') THEN CAST(NULL AS BIGINT) WHEN starts_with(p_name, 's') THEN 1 ELSE 1 END AS place, CAST(strpos(p_name, ' ') AS BIGINT) AS stop FROM part WHERE NOT starts_with(p_name, 'small')")
+def stopping_places(spark, sf_dir):
+    """Where a parse could go no further: at once for a literal, at the first space for letters and a figure."""
+    names = table(spark, sf_dir, "part").where(~F.startswith("p_name", F.lit("small")))
+    letters = seq(rep1(Char(C.POSIX["lower"])), Char(C.DIGIT))
+    return names.select("p_partkey", K.error_of("p_name", P("small"))["index"].alias("place"), K.error_of("p_name", letters)["index"].alias("stop"))
+
+
+# -- more of the builder -----------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, length(regexp_extract(p_name, '^[aeiou]?[a-z]', 0)) AS n, regexp_extract(p_name, '^[^aeiou ]*') AS head FROM part")
+def predicates(spark, sf_dir):
+    """Characters by a function of one's own."""
+    vowel, other = char_in(lambda c: c in "aeiou"), char_not_in(lambda c: c in "aeiou ")
+    found = K.try_parse("p_name", text(seq(opt(vowel), Char(C.POSIX["lower"]))))
+    return table(spark, sf_dir, "part").select("p_partkey", F.length(found).cast("bigint").alias("n"), K.try_parse("p_name", text(rep(other))).alias("head"))
+
+
+@query("SELECT o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) * 10 AS tens, upper(substr(o_orderpriority, 3)) AS label FROM orders")
+def deep_maps(spark, sf_dir):
+    """A function over the parts of one name, however deep they are."""
+    p = map_deep(lambda n: n * 10, seq(seq(number().named("level"), "-")["level"], text(rep1(any_char))), "level", "bigint")
+    found = K.parse("o_orderpriority", p)
+    return table(spark, sf_dir, "orders").select("o_orderkey", found["_1"].alias("tens"), F.upper(found["_2"]).alias("label"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'done' ELSE 'other' END AS told, CASE o_orderstatus WHEN 'O' THEN 1 ELSE 0 END AS is_open FROM orders")
+def grown_choice(spark, sf_dir):
+    """A choice that options are added to at both ends, and one of its options by name."""
+    p = either(Const("F") >> "done").push(any_char >> "other").push_first(Const("O") >> "open", "open")
+    status = table(spark, sf_dir, "orders").select("o_orderkey", K.parse("o_orderstatus", p).alias("told"), K.matches("o_orderstatus", p["open"]).cast("int").alias("is_open"))
+    return status
+
+
+@query("SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS value FROM customer")
+def converted_choice(spark, sf_dir):
+    """Options of several kinds, converted to one."""
+    said = F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey").cast("string")).otherwise(F.concat("c_nationkey", F.lit(".0")))
+    p = either(text(seq(rep1(Char(C.DIGIT)), ".", rep1(Char(C.DIGIT)))), number(), result="double", convert=True)
+    return table(spark, sf_dir, "customer").select("c_custkey", K.parse(said, p).alias("value"))
+
+
+@query("SELECT conv_id, turn, CAST(len(string_split(text, ' ')) AS BIGINT) AS n, string_split(text, ' ')[1] AS first FROM conversations")
+def folded_lists(spark, sf_dir):
+    """Functions of a repetition's and an optional part's result."""
+    words_ = join(text(rep(char_not_in(" "))), " ", 1).map(len, "bigint", column=lambda c: F.size(c).cast("bigint"))
+    head = opt(text(rep1(char_not_in(" "))), "")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", K.parse("text", words_).alias("n"), K.parse("text", head).alias("first"))
+
+
+@query("SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part")
+def sliced_parts(spark, sf_dir):
+    """Several parts of a sequence."""
+    found = K.parse("p_name", seq(L.word, " ", L.word)[0:3])
+    return table(spark, sf_dir, "part").select("p_partkey", found["_1"].alias("a"), found["_3"].alias("b"))
+
+
+@query("""
+SELECT p_partkey, replace(p_name, ' ', '.*') = p_name AS single, p_type LIKE '%STEEL' OR p_type LIKE '%STEEL %' AS steel, p_name LIKE '% b%' AS b_noun,
+       regexp_matches(p_name, '^(?:small|large) ') AS sized FROM part""")
+def pcre_literals(spark, sf_dir):
+    """Quotations, comments, alpha forms of look-arounds and atomic groups."""
+    contains = lambda of, p, flags="": K.contains(of, regex(p, flags))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", (~contains("p_name", r"\x20")).alias("single"), contains("p_type", r"\QSTEEL\E(*pla:\s|\z)").alias("steel"),
+        contains("p_name", r"(*plb:\x{20})(?#a noun)b").alias("b_noun"), contains("p_name", r"\A (*atomic: small | large ) \o{40} # a size", "x").alias("sized"),
+    )
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '\\r\\n|[\\n\\x0B\\f\\r\\x{85}\\x{2028}\\x{2029}]')) AS BIGINT) AS lines, regexp_matches(text, '[\\t ]') AS spaced FROM documents")
+def pcre_line_ends(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.size(K.match_each("text", regex(r"\R"))).cast("bigint").alias("lines"), K.contains("text", regex(r"[\t\x{20}]")).alias("spaced"))
+
+
+@query("SELECT c_custkey, substr(CAST(c_custkey AS VARCHAR), 1, 1) AS figure FROM customer")
+def pcre_duplicate_names(spark, sf_dir):
+    said = F.concat(F.when(F.col("c_custkey") % 2 == 0, "a").otherwise("b"), F.col("c_custkey").cast("string"))
+    found = K.match(said, regex(r"a(?<n>\d)|b(?<n>\d)", "J"))["captures"]
+    return table(spark, sf_dir, "customer").select("c_custkey", F.coalesce(found[0]["text"], found[1]["text"]).alias("figure"))
+
+
+@query("SELECT p_partkey, lower(split_part(p_type, ' ', 1)) AS word FROM part")
+def pcre_back_references(spark, sf_dir):
+    """A back reference by name, in any case."""
+    first = F.split_part("p_type", F.lit(" "), F.lit(1))
+    found = K.match(F.concat(F.lower(first), F.lit("="), first), regex(r"(?i)(?<w>\w+)=\k<w>\z"))
+    return table(spark, sf_dir, "part").select("p_partkey", found["captures"][0]["text"].alias("word"))
+
+
 # -- PCRE and EBNF text ------------------------------------------------------------------------
 
 
@@ -481,8 +612,19 @@ def ebnf_factor(spark, sf_dir):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, sf_dir):
-    found = K.try_parse("props", G.json_value().map(lambda v: v["k"], "bigint"))
-    return table(spark, sf_dir, "events").select("event_id", found.alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", K.try_parse("props", G.json_at("$.k", "bigint")).alias("k"))
+
+
+@query("""
+SELECT p_partkey, p_name AS name, CAST(p_size AS BIGINT) AS size, CAST(p_size % 3 AS BIGINT) AS n, p_size % 2 = 0 AS even,
+       CASE WHEN p_size % 3 > 0 THEN p_type END AS first FROM part""")
+def json_shapes(spark, sf_dir):
+    """Texts of several shapes through the grammar: nested tables, lists of no to two items, numbers, truths and nulls."""
+    items = F.when(F.col("p_size") % 3 == 0, F.lit("[ ]")).when(F.col("p_size") % 3 == 1, F.concat(F.lit('["'), "p_type", F.lit('"]'))).otherwise(F.concat(F.lit('["'), "p_type", F.lit('", null]')))
+    said = F.concat(F.lit(' {"name": "'), "p_name", F.lit('", "in" : {"size":'), "p_size", F.lit(', "even":'), (F.col("p_size") % 2 == 0).cast("string"), F.lit('}, "items": '), items, F.lit("} "))
+    p = G.json_value().map(lambda v: {"name": v["name"], "size": v["in"]["size"], "n": len(v["items"]), "even": v["in"]["even"], "first": v["items"][0] if v["items"] else None}, "struct<name:string,size:bigint,n:bigint,even:boolean,first:string>")
+    found = K.try_parse(said, p)
+    return table(spark, sf_dir, "part").select("p_partkey", *(found[k].alias(k) for k in ("name", "size", "n", "even", "first")))
 
 
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS BIGINT) AS n FROM pages")
@@ -525,20 +667,26 @@ def arithmetic(spark, sf_dir):
 def person_address(spark, sf_dir):
     said = F.concat(F.lit("Doe, Jane\nMain Street "), "s_suppkey", F.lit(", "), F.col("s_suppkey") + 10000, F.lit(" New Town"))
     found = K.parse(said, G.people())[0]
-    return table(spark, sf_dir, "supplier").select("s_suppkey", found["person"]["lastname"].alias("lastname"), found["adresses"][0]["door"]["no"].alias("no"), found["adresses"][0]["zip"].alias("zip"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", found["person"]["lastname"].alias("lastname"), found["addresses"][0]["door"]["no"].alias("no"), found["addresses"][0]["zip"].alias("zip"))
 
 
 @query("SELECT s_suppkey, CAST(s_suppkey AS BIGINT) AS k FROM supplier")
 def bson_document(spark, sf_dir):
-    import struct
+    byte = lambda n: F.unhex(F.lpad(F.hex(n), 2, "0"))
+    little = F.concat(*[byte(F.shiftright(F.col("s_suppkey"), 8 * k).bitwiseAND(255)) for k in range(8)])
+    bson = F.concat(F.unhex(F.lit("10000000126B00")), little, F.unhex(F.lit("00")))
+    found = K.try_parse(bson, G.bson_document().map(lambda kv: dict(kv)["k"], "bigint"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", found.alias("k"))
 
-    @F.udf("binary")
-    def bson(n):
-        body = b"\x12k\0" + struct.pack("<q", n) + b"\0"
-        return struct.pack("<i", len(body) + 4) + body
 
-    found = K.try_parse(bson("s_suppkey"), G.bson_document().map(lambda kv: dict(kv)["k"], "bigint"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", found.alias("k"))
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'Doe' ELSE 'Roe' END AS lastname, s_name AS first_city FROM supplier")
+def person_orders(spark, sf_dir):
+    """Both orders of names, with labels and without."""
+    city = F.regexp_replace("s_name", "[^A-Za-z]", "")
+    said = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "Name: Jane Doe").otherwise("Roe, Mary Ann"), F.lit("\nAddress: Long Road 7, 12345 "), city)
+    found = K.try_parse(F.when(F.col("s_suppkey") % 2 == 0, said).otherwise(F.regexp_replace(said, " Ann", "")), G.people())[0]
+    head = F.concat(found["addresses"][0]["city"], F.substring("s_name", F.length(city) + 1, F.lit(99)))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", found["person"]["lastname"].alias("lastname"), head.alias("first_city"))
 
 
 @query("""

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from loomtext.plans.java import nullable
+from loomtext.plans.java import no_left_recursion
 from loomtext.plans.nodes import Alt, At, Const, Named, Node, Opt, Ref, Rep, Seq, Text, Unsupported
 from loomtext.plans.build import Grammar
 
@@ -61,7 +61,7 @@ class _Rules:
             self.need(";")
             names.append(name)
         for n in names:
-            _no_left_recursion(self.grammar.refs[n], ())
+            no_left_recursion(self.grammar.refs[n])
         return {n: self.grammar.refs[n] for n in names}
 
     def choice(self) -> Node:
@@ -111,23 +111,6 @@ class _Rules:
         raise ValueError(f"no EBNF at {text!r}")
 
 
-def _no_left_recursion(p: Node, path: tuple) -> None:
-    """Raises if ``p`` can reach itself without taking a character."""
-    if id(p) in path:
-        raise Unsupported("left recursion")
-    path = (*path, id(p))
-    if isinstance(p, Ref):
-        _no_left_recursion(p.target, path)
-    elif isinstance(p, Seq):
-        for c in p.parts:
-            _no_left_recursion(c, path)
-            if not nullable(c):
-                return
-    else:
-        for c in p.children():
-            _no_left_recursion(c, path)
-
-
 def ebnf(text: str) -> dict[str, Ref]:
     """The rules by name; their results are lists and tuples of the matched terminals."""
     return _Rules(text).rules()

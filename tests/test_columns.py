@@ -10,7 +10,7 @@ from loomtext.functions import grammars as G
 from loomtext.functions import patterns as L
 from loomtext.operators import rows as R
 from loomtext.plans import classes as C
-from loomtext.plans.build import P, any_char, caseless, char_in, char_not_in, either, integer_base, join, lazy, number, opt, rep, rep1, seq, text
+from loomtext.plans.build import P, any_char, at_end, caseless, char_in, char_not_in, date, either, integer_base, join, lazy, number, opt, rep, rep1, seq, text, words
 from loomtext.plans.nodes import Char, Const, NotRegular
 from loomtext.sources import readers
 from loomtext.sources.pcre import regex
@@ -147,3 +147,68 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert sorted(r["value"] for r in spark.sql("SELECT value FROM loom_plain").collect()) == [1, 1, 2]
     assert sorted((r["value"], r["n"]) for r in spark.sql("SELECT value, n FROM loom_counts").collect()) == [(1, 2), (2, 1)]
+
+
+@pytest.mark.parametrize("p", [text(rep(either("ab", "a"))), text(join(text(rep(char_not_in(" "))), " ", 1)), seq(text(rep(either("a", "b", " "))), at_end)[0], text(seq(rep(seq(rep1("a"), either("b", " "))), opt("a")))])
+def test_repeated_groups_take_long_texts(spark, p):
+    said = spark.createDataFrame([("ab" * 50_000,), ("ab a " * 20_000,), ("ab a",)], "t string")
+    got = said.select("t", K.try_parse("t", p).alias("a"), K.try_parse("t", p, force="matcher", budget=None).alias("b"))
+    assert all(r["a"] == r["b"] for r in got.collect())
+
+
+def test_repeated_groups_that_may_give_back_have_no_regex(texts):
+    assert K.tier(text(seq(rep(either("ab", "a")), "b"))) == "matcher" and K.tier(text(seq(rep(either("ab", "cd")), "x"))) == "regex"
+    assert K.tier(text(seq(rep(seq("a", rep("b"))), "b"))) == "matcher"
+
+
+DAYS = ["2024-02-29", "2023-02-29", "2024-1-45", "2024-13-01", "2024-02-30x", "0000-01-01", "31.12.2024 5", "31.2.2024", "1.1.20245", "9999-12-31", "2024-12-3", "2024-00-10", "2024-10-00", "2024-10-0", "", None, "x", "10000-01-01"]
+
+
+def test_dates_agree(spark):
+    said = spark.createDataFrame([(d,) for d in DAYS], "t string")
+    p = date("%Y-%m-%d", "%d.%m.%Y")
+    assert K.tier(p) == "regex"
+    for r in said.select("t", K.try_parse("t", p).alias("a"), K.try_parse("t", p, force="matcher").alias("b"), K.matches("t", p).alias("c")).collect():
+        assert r["a"] == r["b"] and r["c"] == (None if r["t"] is None else r["b"] is not None), r
+    times = ["2024-02-29 23:59:59", "2024-02-29 24:00:00", "2024-02-29 1:2:60", "2024-02-29 12:61:00", "29.02.2024 7:05", "2024-02-29 23:59:7x"]
+    p = date("%Y-%m-%d %H:%M:%S", "%d.%m.%Y %H:%M", time=True)
+    said = spark.createDataFrame([(d,) for d in times], "t string")
+    assert K.tier(p) == "regex" and K.tier(date("%d %b %Y")) == "matcher"
+    for r in said.select("t", K.try_parse("t", p).alias("a"), K.try_parse("t", p, force="matcher").alias("b")).collect():
+        assert r["a"] == r["b"], r
+
+
+def test_json_at_agrees(spark):
+    said = spark.createDataFrame([(x,) for x in ['{"a": [1, {"b": 2}]}', '{"a": []}', "[1]", "nope", '{"a": [1, {"b": "7"}]}', None, ' {"a" : [ 0 , {"b":-3} ] } ']], "t string")
+    p = G.json_at("$.a[1].b", "bigint")
+    found = said.select("t", K.try_parse("t", p).alias("a")).collect()
+    assert [r["a"] for r in found] == [2, None, None, None, 7, None, -3]
+    again = said.where("t NOT LIKE '%7%'").select(K.try_parse("t", p).alias("a"), K.try_parse("t", p, force="matcher").alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in again)
+
+
+def test_tries_of_many_words(spark):
+    import random
+
+    pick = random.Random(4)
+    some = sorted({"".join(pick.choices("abc", k=pick.randint(1, 8))) for _ in range(3000)})
+    said = spark.createDataFrame([("".join(pick.choices("abcd", k=30)),) for _ in range(200)] + [("",), (None,)], "t string")
+    p = words(some)
+    assert K.tier(p) == "regex"
+    for r in said.select("t", K.try_parse("t", p).alias("a"), K.try_parse("t", p, force="matcher").alias("b"), K.try_parse("t", seq(p, "c")[0]).alias("c")).collect():
+        if r["t"] is None:
+            assert r["a"] is None
+            continue
+        fits = [w for w in some if r["t"].startswith(w)]
+        assert r["a"] == r["b"] == max(fits, key=len, default=None)
+        assert r["c"] == max((w for w in fits if r["t"][len(w) :].startswith("c")), key=len, default=None)
+    table = spark.createDataFrame([(w, i) for i, w in enumerate(some)], "word string, id bigint")
+    texts = said.where("t <> ''").distinct()
+    one, other = (sorted(map(tuple, R.lookup_everywhere(texts, "t", "t", table, most=n).collect())) for n in (10, 100_000))
+    assert one == other and len(one) > 1000
+
+
+def test_errors_tell_how_far_a_parse_came(spark):
+    said = spark.createDataFrame([("abcx",), ("abcd",), ("x",), (None,)], "t string")
+    assert [r[0] and r[0]["index"] for r in said.select(K.error_of("t", seq("abc", "d"))).collect()] == [4, None, 1, None]
+    assert [r[0] and r[0]["index"] for r in said.select(K.error_of("t", seq(rep1(char_not_in("x")), "d", at_end))).collect()] == [4, None, 1, None]

@@ -186,13 +186,15 @@ def _append(batch: pa.RecordBatch, field: str, column: pa.Array) -> pa.RecordBat
 #: Names of the columns that these operators add in between; no column of the input is called so.
 BLOCK, PLACES = "own block", "own places"
 #: Text of a block, and of the blocks whose words make up a bucket.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 
 
 def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, end of each) of numbers below 2^32: seven bits a byte, low ones first, the top bit where more follow."""
-    sizes = 1 + sum((values >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
-    ends = np.cumsum(sizes)
+    sizes = np.ones(len(values), np.int8)
+    for k in range(1, 5):
+        sizes += values >= 1 << 7 * k
+    ends = np.cumsum(sizes, dtype=np.int64)
     out, starts = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8), ends - sizes
     for k in range(5):
         more = sizes > k
@@ -336,19 +338,28 @@ def _word_ids(docs: DataFrame, path: str, text: str, drop: bool) -> tuple[DataFr
     return _rows(docs, text, split, drop), dealt.mapInArrow(_encoded(path), ID_ROWS)
 
 
-def _ids_by_place(parts: pa.Table, width: int) -> dict[int, np.ndarray]:
-    out = {}
+def _ids_by_place(parts: pa.Table) -> list[bytes]:
+    """The ids of the words of a block's list, packed in the vocabulary's width."""
+    at, own = [], []
     for places, sizes, ids in zip(*(parts.column(k).to_pylist() for k in ("places", "sizes", "ids")), strict=True):
-        own = [np.frombuffer(x, f"<u{width}").astype("<u4") for x in _strings(sizes, ids)]
-        out.update(zip(np.cumsum(numbers(np.frombuffer(places, np.uint8))).tolist(), own, strict=True))
+        at.append(np.cumsum(numbers(np.frombuffer(places, np.uint8))))
+        own += _strings(sizes, ids)
+    at = np.concatenate(at) if at else np.zeros(0, np.int64)
+    out = [b""] * len(own)
+    for place, x in zip(at.tolist(), own, strict=True):
+        out[place] = x
     return out
 
 
+def _widened(ids: bytes, width: int) -> bytes:
+    return ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+
+
 def _joined_back(blocks: DataFrame, parts: DataFrame, make, schema: T.StructType) -> DataFrame:
     """``make`` gets the places of each of a block's rows and the block's ``parts``, and tells the columns to add."""
 
     def run(rows: pa.Table, parts: pa.Table) -> pa.Table:
-        places = [numbers(np.frombuffer(x, np.uint8)).tolist() for x in rows.column(PLACES).to_pylist()]
+        places = (numbers(np.frombuffer(x, np.uint8)).tolist() for x in rows.column(PLACES).to_pylist())  # a row's at a time
         more = make(places, parts)
         return pa.Table.from_arrays([more[f.name] if f.name in more else rows.column(f.name) for f in schema], [f.name for f in schema])
 
@@ -360,8 +371,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     blocks, parts = _word_ids(docs, path, text, False)
 
     def make(places, parts):
-        own = {k: x.tobytes() for k, x in _ids_by_place(parts, word_table(path).width).items()}
-        return {ids: pa.array([b"".join(map(own.__getitem__, p)) for p in places], pa.binary())}
+        own, width = _ids_by_place(parts), word_table(path).width
+        return {ids: pa.array([_widened(b"".join(map(own.__getitem__, p)), width) for p in places], pa.binary())}
 
     return _joined_back(blocks, parts, make, _appended(docs, ids, "binary"))
 
@@ -400,21 +411,22 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """
     blocks, parts = _word_ids(docs.select("doc_id", "text"), path, "text", True)
     spark = docs.sparkSession
-    table = pieces(spark, path).orderBy("id").collect()  # a vocabulary
-    sizes, raw = _packed_strings([bytes(r["piece"]) for r in table])
+    words = word_table(path)
+    sizes, raw = _packed_strings([words.piece(i) for i in range(len(words.pieces))])
     packed_pieces = spark.createDataFrame([(path, sizes, raw)], "vocabulary string, piece_sizes binary, pieces binary")
     # the row that stands for a block takes the table
     parts = parts.withColumn("vocabulary", F.when(F.col("bucket") < 0, F.lit(path))).join(F.broadcast(packed_pieces), "vocabulary", "left").drop("vocabulary")
 
     def make(places, parts):
-        words, own = word_table(path), _ids_by_place(parts, word_table(path).width)
+        words, own = word_table(path), _ids_by_place(parts)
         told = parts.select(["piece_sizes", "pieces"]).filter(parts.column("bucket").to_numpy() < 0).to_pylist()[0]
-        piece, joint = _strings(told["piece_sizes"], told["pieces"]), b" " if words.joined else b""
-        text = {k: joint.join(map(piece.__getitem__, x.tolist())) for k, x in own.items() if len(x)}
-        whole = len(text) == len(own)  # a word may have no ids
-        own = {k: x.tobytes() for k, x in own.items()}
-        texts = [joint.join(map(text.__getitem__, p if whole else [k for k in p if k in text])).decode("utf-8", "replace") for p in places]
-        return {"ids": pa.array([b"".join(map(own.__getitem__, p)) for p in places], pa.binary()), "decoded": pa.array(texts, pa.string())}
+        piece, joint, code = _strings(told["piece_sizes"], told["pieces"]), b" " if words.joined else b"", "H" if words.width == 2 else "I"
+        text = [joint.join(map(piece.__getitem__, memoryview(x).cast(code).tolist())) for x in own]
+        whole, ids, decoded = all(own), [], []  # a word may have no ids
+        for p in places:
+            ids.append(_widened(b"".join(map(own.__getitem__, p)), words.width))
+            decoded.append(joint.join(map(text.__getitem__, p if whole else [k for k in p if own[k]])).decode("utf-8", "replace"))
+        return {"ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.string())}
 
     return _joined_back(blocks, parts, make, T.StructType.fromDDL("doc_id bigint, ids binary, decoded string"))
 

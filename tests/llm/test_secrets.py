@@ -137,6 +137,7 @@ def test_find_over_rows(docs_of):
     got = {r["doc_id"]: r["spans"] for r in M.find(docs).collect()}
     assert [len(got[i]) for i in range(len(rows))] == [0, 0, 1, 1, 1, 1, 2] and got[4][0]["layer"] and not got[2][0]["layer"]
     cut = {r["doc_id"]: r["text"] for r in M.redacted(M.find(docs)).collect()}
+    assert {r["doc_id"]: r["text"] for r in M.redact(docs).collect()} == cut and M.redact(docs).columns == docs.columns
     assert cut[0] is None and cut[2] == "before [secret] after" and cut[6] == "[secret] [secret]"
     assert M.redacted(M.find(docs)).columns == docs.columns and M.find(docs.limit(0)).count() == 0
 

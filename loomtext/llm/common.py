@@ -25,6 +25,9 @@ NULL_ID = -(1 << 63)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    # the setting is part of a Python worker's environment for some kinds of functions only, and workers are shared by
+    # environment: left on, the idle workers of one kind stay beside those of the other
+    spark.conf.set("spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled", False)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -209,10 +209,11 @@ def held_out(doc_id: str = "doc_id") -> "F.Column":
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
-def stratified(rows: DataFrame, label: str, per: int, most: int, doc_id: str = "doc_id") -> tuple[DataFrame, dict]:
+def stratified(rows: DataFrame, label: str, per: int, most: int, doc_id: str = "doc_id", through: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[DataFrame, dict]:
     """About ``per`` rows of each label, fewer if all labels together exceed ``most``, chosen by a hash of their ids; and the labels' counts.
 
-    The excess that chance leaves over ``most`` is taken from each label in proportion.
+    The excess that chance leaves over ``most`` is taken from each label in proportion.  ``through`` makes the chosen rows smaller
+    (it keeps their ids and labels) before they are brought together to be ordered.
     """
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), label).limit(most).collect()}
     place = F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1_000_000))
@@ -220,4 +221,4 @@ def stratified(rows: DataFrame, label: str, per: int, most: int, doc_id: str = "
     bound = F.lit(0)
     for value, n in counts.items():
         bound = F.when(F.col(label) == F.lit(value), F.lit(min(1_000_000, -(-own * 1_000_000 // n)))).otherwise(bound)
-    return rows.where(place < bound).orderBy(place / F.greatest(bound, F.lit(1)), doc_id).limit(most).orderBy(place, doc_id), counts
+    return through(rows.where(place < bound)).orderBy(place / F.greatest(bound, F.lit(1)), doc_id).limit(most).orderBy(place, doc_id), counts

@@ -12,6 +12,8 @@ doc_id is not held out and not learned from.  Ties go to the language whose name
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,33 +44,39 @@ def presence(column: pa.Array) -> np.ndarray:
     return out / np.maximum(size, 1)
 
 
-def snippets(texts: list[str], seed: int = 7) -> list[tuple[int, str]]:
-    """(index, snippet) of one to a dozen words of each text."""
-    pick, out = np.random.default_rng(seed), []
-    for k, text in enumerate(texts):
-        words = text.split()
-        for n in (int(pick.integers(1, 4)), int(pick.integers(4, 13))):
-            if words:
-                at = int(pick.integers(0, max(1, len(words) - n + 1)))
-                out.append((k, " ".join(words[at : at + n])))
-    return out
+def snippets(text: str) -> list[str]:
+    """Two snippets of one to a dozen words, picked by a hash of the text; none where it has no word."""
+    words = text.split()
+    pick = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    sizes = [int(pick.integers(1, 4)), int(pick.integers(4, 13))] if words else []
+    starts = [int(pick.integers(0, max(1, len(words) - n + 1))) for n in sizes]
+    return [" ".join(words[at : at + n]) for at, n in zip(starts, sizes, strict=True)]
+
+
+def examples(texts: list[str]) -> np.ndarray:
+    """Which n-grams the texts hold, eight places a byte."""
+    return np.packbits(presence(pa.array(texts, pa.string())) > 0, axis=1)
+
+
+def _unpacked(bits: np.ndarray) -> np.ndarray:
+    held = np.unpackbits(bits, axis=1).astype(np.float32)
+    return held / np.maximum(np.sqrt(held.sum(axis=1, keepdims=True)), 1)
 
 
 class Model:
-    def __init__(self, texts: list[str], labels: list[str]):
+    """``bits``: the examples' n-grams, as ``examples`` gives them; they are unpacked ``ROWS`` at a time."""
+
+    def __init__(self, bits: np.ndarray, labels: list[str]):
         self.names = sorted(set(labels))
-        more = snippets(texts)
-        labels = np.array([self.names.index(x) for x in [*labels, *(labels[k] for k, _ in more)]])
-        texts = [*texts, *(s for _, s in more)]
-        held = np.concatenate([presence(pa.array(texts[at : at + ROWS])) for at in range(0, len(texts), ROWS)])
-        pick = np.random.default_rng(11).permutation(len(texts))
+        labels = np.array([self.names.index(x) for x in labels])
+        pick = np.random.default_rng(11).permutation(len(labels))
         share = max(1, LANDMARKS // len(self.names))
         marks = np.concatenate([pick[labels[pick] == c][:share] for c in range(len(self.names))])
-        self.landmarks = held[marks]
+        self.landmarks = _unpacked(bits[marks])
         values, vectors = np.linalg.eigh((self.landmarks @ self.landmarks.T).astype(np.float64))
         good = values > 1e-6 * values[-1]
         root = vectors[:, good] / np.sqrt(values[good])
-        phi = held @ self.landmarks.T @ root
+        phi = np.concatenate([_unpacked(bits[at : at + ROWS]) @ self.landmarks.T @ root for at in range(0, len(bits), ROWS)])
         weight = (len(labels) / (len(self.names) * np.bincount(labels)))[labels][:, None]
         target = np.where(labels[:, None] == np.arange(len(self.names)), 1.0, -1.0)
         solved = np.linalg.solve(phi.T @ (weight * phi) + RIDGE * len(labels) / LANDMARKS * np.eye(phi.shape[1]), phi.T @ (weight * target))
@@ -82,12 +90,25 @@ class Model:
 
 
 def train(docs: DataFrame) -> Model | None:
-    """Learns from text and lang of the documents given."""
+    """Learns from text and lang of the documents given.
+
+    The driver gets the n-grams that a text and its snippets hold, not the text: 1.5 KB an example however long the text
+    is, and at most three examples for each of ``MOST`` documents.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    some, _ = stratified(known, "lang", PER, MOST)
-    rows = sorted((r["lang"], r["text"]) for r in some.select("lang", "text").collect())
-    rows = [r for r in rows if any(map(str.isalpha, r[1]))]
-    return Model([t for _, t in rows], [lang for lang, _ in rows]) if rows else None
+
+    def run(batches):
+        for batch in steps(batches):
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                own = [[t, *snippets(t)] if any(map(str.isalpha, t)) else [] for t in part.column("text").to_pylist()]
+                bits = iter(examples([x for some in own for x in some]))
+                held = pa.array([[next(bits).tobytes() for _ in some] for some in own], pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), held], names=["doc_id", "lang", "bits"])
+
+    some, _ = stratified(known, "lang", PER, MOST, through=lambda rows: rows.mapInArrow(run, "doc_id bigint, lang string, bits array<binary>"))
+    rows = sorted((r["lang"], bytes(b)) for r in some.collect() for b in r["bits"])
+    return Model(np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(len(rows), -1), [lang for lang, _ in rows]) if rows else None
 
 
 SCHEMA = "doc_id bigint, lang_pred string, score double"

@@ -43,3 +43,75 @@ def test_empty_table(docs_of):
     assert M.with_following(docs_of([(1, "a")]).limit(0)).count() == 0
     (only,) = M.with_following(docs_of([(1, "abcdefgh")])).collect()
     assert only["fingerprint"] == only["next_fingerprint"] and only["n_chars"] == 8
+
+
+def plain_fingerprint(text):
+    """The fingerprint byte by byte, with whole numbers of Python."""
+    data, base, mask = text.encode(), 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def letter(piece):
+        x = (sum((b + 1) * pow(base, k, 1 << 64) for k, b in enumerate(piece)) + len(piece) * 0xD6E8FEB86659FD93) & mask
+        for _ in range(2):  # the hash is finished twice
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+            x ^= x >> 31
+        return "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[x >> 58]
+
+    rolling = []
+    for i in range(len(data)):
+        shifted = total = 0
+        for k in range(min(7, i + 1)):
+            shifted ^= data[i - k] << 5 * k & 0xFFFFFFFF
+            total += data[i - k] * (8 - k)
+        rolling.append((shifted + total) & 0xFFFFFFFF)
+
+    def pieces(block):
+        out, at = [], 0
+        for i, r in enumerate(rolling):
+            if r % block == block - 1:
+                out.append(data[at : i + 1])
+                at = i + 1
+        return out + [data[at:]] * (at < len(data))
+
+    hits = lambda block: sum(r % block == block - 1 for r in rolling)
+    block = 3
+    while block * 64 < len(data):
+        block *= 2
+    while hits(block) < 32 and block > 3 and hits(block // 2) < 64:
+        block //= 2
+    while hits(block) >= 64:
+        block *= 2
+    return ":".join([str(block), *("".join(map(letter, pieces(b))) for b in (block, 2 * block))])
+
+
+def plain_likeness(a, b):
+    def near(p, q):
+        last = list(range(len(q) + 1))
+        for i, x in enumerate(p, 1):
+            row = [i]
+            for j, y in enumerate(q, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+            last = row
+        return 1 - last[-1] / max(len(p), len(q)) if p or q else 0.0
+
+    (m, one, two), (n, eins, zwei) = a.split(":"), b.split(":")
+    m, n = int(m), int(n)
+    if a == b:
+        return 1.0
+    return max(near(one, eins), near(two, zwei)) if m == n else near(one, zwei) if m == 2 * n else near(two, eins) if n == 2 * m else 0.0
+
+
+def test_query_against_plain_python(spark, sf):
+    """The whole query on its whole table: texts, edits, fingerprints and likenesses."""
+    told = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    got = {r["doc_id"]: r for r in M.op1_document_fingerprints(spark, sf).collect()}
+    assert len(got) == len(told)
+    marks = [plain_fingerprint(t) for _, t in told]
+    for k, (i, text) in enumerate(told):
+        after = (k + 1) % len(told)
+        n = len(text) // 4
+        changed = text[: len(text) - n] + told[after][1][:n]
+        other, row = plain_fingerprint(changed), got[i]
+        assert (row["n_chars"], row["edited_sha256"]) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
+        assert (row["fingerprint"], row["edited_fingerprint"]) == (marks[k], other)
+        assert abs(row["near_edited"] - plain_likeness(marks[k], other)) < 1e-12 and abs(row["near_next"] - plain_likeness(marks[k], marks[after])) < 1e-12

@@ -119,9 +119,9 @@ def test_kernel_against_plain_sets():
 def test_landmarks_give_the_full_kernel_ridge():
     """With every training text a landmark, the scores are those of kernel ridge regression solved on the whole kernel."""
     texts, labels = ["one two three", "un deux trois", "two one", "deux un", "three two", "trois deux"], list("efefef")
-    model = languages.Model(texts, labels)
-    more = [*texts, *(s for _, s in languages.snippets(texts))]
-    y = np.array([labels[k] for k in [*range(6), *(k for k, _ in languages.snippets(texts))]])
+    more = [x for t in texts for x in (t, *languages.snippets(t))]
+    y = np.array([c for t, c in zip(texts, labels, strict=True) for _ in (t, *languages.snippets(t))])
+    model = languages.Model(languages.examples(more), y.tolist())
     whole = np.array([[kernel(a, b) for b in more] for a in more])
     target = np.where(y[:, None] == np.array(["e", "f"]), 1.0, -1.0)
     weight = (len(y) / (2 * np.array([(y == c).sum() for c in y])))[:, None]
@@ -130,3 +130,11 @@ def test_landmarks_give_the_full_kernel_ridge():
     want = np.array([[kernel(a, b) for b in more] for a in probe]) @ alpha
     got = languages.presence(pa.array(probe)) @ model.landmarks.T @ model.weights
     assert np.allclose(got, want, atol=0.02) and (got.argmax(axis=1) == [0, 1, 1]).all()
+
+
+def test_examples_of_any_text_take_the_same_room(spark, docs_of):
+    assert {e.nbytes for t in ("", "a", "long words " * 100_000) for e in languages.examples([t])} == {languages.GRAMS * languages.WIDTH // 8}
+    assert languages.snippets("one two three") == languages.snippets("one two three") and languages.snippets(" ") == []
+    rows = [(1, "the cat sat"), (1, "the cat sat"), (2, None), (None, "the hat"), (3, "12"), (4, "")]
+    model = languages.train(docs_of(rows).withColumnRenamed("hits", "bits"))
+    assert model.names == ["en"]

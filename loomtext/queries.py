@@ -13,13 +13,14 @@ from loomtext.functions import patterns as L
 from loomtext.operators import rows as R
 from loomtext.plans import classes as C
 from loomtext.plans.build import (
-    Blank, P, any_char, at_end, at_start, atomic, backwards, caseless, capture, char_in, char_not_in, date, either, integer_base, join,
+    Blank, P, any_char, at_end, at_start, atomic, backwards, caseless, capture, char_in, char_not_in, date, effect, either, integer_base, join,
     lazy, look, map_deep, mapped, matched_range, memo, number, opt, raw, rep, rep1, rep_stop, rep_until, reparsed, seq, spaced, text, trim, where,
-    where_result, without, words,
+    strip_single, where_result, without, without_effects, words,
 )
 from loomtext.plans.nodes import Char, Const
 from loomtext.sources.ebnf import ebnf, ebnf_text
 from loomtext.sources.pcre import regex
+from loomtext.sources.readers import binaries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -549,6 +550,49 @@ def pcre_back_references(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", found["captures"][0]["text"].alias("word"))
 
 
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\n\\x0B\\f\\r\\x{85}\\x{2028}\\x{2029}]+')) AS BIGINT) AS breaks, CAST(len(regexp_extract_all(text, '[ \\t\\x0B\\f\\x{85}\\x{200E}\\x{200F}\\x{2028}\\x{2029}]+')) AS BIGINT) AS gaps FROM documents")
+def space_runs(spark, sf_dir):
+    """Runs of line ends and of spaces within lines, in whole texts."""
+    count = lambda p: F.size(K.match_each("text", p)).cast("bigint")
+    return table(spark, sf_dir, "documents").select("doc_id", count(L.vertical_space).alias("breaks"), count(L.whitespace).alias("gaps"))
+
+
+@query("SELECT c_custkey, CAST(CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey * 10 ELSE -1 END AS BIGINT) AS value, c_name AS name FROM customer")
+def optional_mapped(spark, sf_dir):
+    """A function of an optional part's result, and the default where the part is left out."""
+    said = F.when(F.col("c_nationkey") % 2 == 0, F.concat("c_nationkey", F.lit(":"), "c_name")).otherwise(F.col("c_name"))
+    p = seq(value=opt(seq(number(), ":")[0], -1, f=lambda n: n * 10, kind="bigint"), name=text(rep(any_char)))
+    found = K.try_parse(said, p)
+    return table(spark, sf_dir, "customer").select("c_custkey", found["value"].alias("value"), found["name"].alias("name"))
+
+
+@query("SELECT p_partkey, regexp_extract(substr(p_name, 4), '[0-9A-Za-z_]+') AS word FROM part")
+def match_from_place(spark, sf_dir):
+    """The first match from a place on."""
+    return table(spark, sf_dir, "part").select("p_partkey", K.match("p_name", L.word, start=4)["match"].alias("word"))
+
+
+@query("SELECT p_partkey, contains(p_name, 'large') AS large, contains(p_name, 'a') AS marked, regexp_matches(p_name, '^s[a-z]+ [a-z]*t') AS two FROM part")
+def pcre_verbs(spark, sf_dir):
+    """An option that always fails, a mark, and options set for a part."""
+    has = lambda of, p: K.contains(of, regex(p))
+    return table(spark, sf_dir, "part").select("p_partkey", has("p_name", r"(?:small(*FAIL)|large)").alias("large"), has("p_name", r"(*MARK:here)a").alias("marked"), has("p_name", r"^(?i)S[A-Z]+ (?-i)[a-z]*t").alias("two"))
+
+
+@query("SELECT p_partkey, split_part(p_name, ' ', 1) AS head FROM part")
+def simplified(spark, sf_dir):
+    """Choices of one option and effects taken out of a pattern, which so stays in the JVM."""
+    p = without_effects(strip_single(seq(effect(either(text(rep1(char_in(("a", "z")))))), " ")))[0]
+    return table(spark, sf_dir, "part").select("p_partkey", K.parse("p_name", p, force="regex").alias("head"))
+
+
+@query("SELECT n_nationkey, 'PAR1' AS magic FROM nation")
+def file_magic(spark, sf_dir):
+    """The first bytes of a table's own files, read as binaries."""
+    found = binaries(spark, f"{sf_dir}/nation.parquet").select(K.try_parse("content", raw(4)).cast("string").alias("magic")).distinct()
+    return table(spark, sf_dir, "nation").select("n_nationkey").crossJoin(F.broadcast(found))
+
+
 # -- PCRE and EBNF text ------------------------------------------------------------------------
 
 

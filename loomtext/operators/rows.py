@@ -51,13 +51,15 @@ def lookup_prefix(df: DataFrame, keys: list[str], column: str, dictionary: DataF
     """The longest word of the dictionary that each text starts with: (keys, the dictionary's columns).
 
     ``keys`` tell rows apart.  One row for each length of word (there are few) meets the dictionary by an equi-join, which
-    Spark broadcasts if it finds it small; the longest stays by an aggregate.  Texts with none are left out.
+    Spark broadcasts if it finds it small; the longest stays by an aggregate.  Texts with none are left out.  The join keeps all
+    pieces until then, so that Spark may broadcast the dictionary alone: it takes the pieces to be as few as the texts.
     """
     lengths = sorted(r[0] for r in dictionary.select(F.length(word)).distinct().collect() if r[0])
     tried = df.select(*keys, F.col(column).alias("_text"), F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_n")).where(F.length("_text") >= F.col("_n"))
     tried = tried.select(*keys, F.substring(F.col("_text"), F.lit(1), F.col("_n")).alias(word))
-    best = tried.join(dictionary, word).groupBy(*keys).agg(F.max_by(F.struct(*dictionary.columns), F.length(word)).alias("_best"))
-    return best.select(*keys, "_best.*")
+    met = tried.join(dictionary.withColumn("_known", F.lit(True)), word, "left")
+    best = met.groupBy(*keys).agg(F.max_by(F.when(F.col("_known"), F.struct(*dictionary.columns)), F.when(F.col("_known"), F.length(word))).alias("_best"))
+    return best.where("_best IS NOT NULL").select(*keys, "_best.*")
 
 
 #: Words of a dictionary that each task holds as one automaton; a larger one meets the texts by a join.

@@ -212,3 +212,17 @@ def test_errors_tell_how_far_a_parse_came(spark):
     said = spark.createDataFrame([("abcx",), ("abcd",), ("x",), (None,)], "t string")
     assert [r[0] and r[0]["index"] for r in said.select(K.error_of("t", seq("abc", "d"))).collect()] == [4, None, 1, None]
     assert [r[0] and r[0]["index"] for r in said.select(K.error_of("t", seq(rep1(char_not_in("x")), "d", at_end))).collect()] == [4, None, 1, None]
+
+
+def test_pieces_of_texts_are_not_broadcast(spark):
+    """Spark takes the pieces to be as few as the texts, so it must not choose to broadcast them."""
+    texts = spark.range(10).selectExpr("id AS i", "concat('w', id, 'tail') AS t")  # of known size
+    words = spark.range(2000).selectExpr("if(id = 1999, 'w1t', concat('w', id)) AS word", "id AS n")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "5000b")
+    try:
+        found = R.lookup_prefix(texts, ["i"], "t", words)
+        assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == [(i, "w1t" if i == 1 else f"w{i}", 1999 if i == 1 else i) for i in range(10)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

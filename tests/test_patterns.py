@@ -18,7 +18,7 @@ from loomtext.plans.build import (
 )
 from loomtext.plans.java import is_regular, regex as java, width
 from loomtext.plans.matcher import PartialMatch, compiled
-from loomtext.plans.nodes import Alt, Budget, Char, Const, Map, Named, Unsupported
+from loomtext.plans.nodes import Alt, Budget, Char, Const, Constant, Map, Named, Unsupported
 from loomtext.sources.ebnf import ebnf, ebnf_text
 from loomtext.sources.pcre import regex
 
@@ -297,3 +297,18 @@ def test_date_times():
 
     assert parse(date("%Y-%m-%d %H:%M", time=True), "2024-02-03 04:05") == datetime(2024, 2, 3, 4, 5)
     assert parse(date("%d %b %Y"), "3 Feb 2024") == day(2024, 2, 3)
+
+
+def test_json_is_read_at_once():
+    """Python's reader stands in for the grammar where both agree, in few steps, and gives way once the grammar is rewritten."""
+    said = ['{"a": [%s]}' % ", ".join(["[1.5, null]"] * 5000), '{"a":1,"b":[ ],"a":"\\ud83d\\ude00"}', " [01]", "NaN", "[1,]", '"\\x"', '"a\x01"', "\xa0[ ]\x0b", "-0", "1.", ""]
+    fast = compiled(G.json_value())
+    assert compiled(G.json_value(), 1000).parse(said[0]) == {"a": [[1.5, None]] * 5000}
+    slow = compiled(G.json_value().of, None)
+    assert [repr(fast.attempt(t)) for t in said] == [repr(slow.attempt(t)) for t in said]
+    for p in (fast, slow):
+        with pytest.raises(UnicodeDecodeError):
+            p.parse('"\\\\\\ud83d"')
+    assert list(map(repr, fast.parse_all("[ 1 ] "))) == list(map(repr, slow.parse_all("[ 1 ] ")))
+    assert compiled(map_deep(lambda x: "yes", G.json_value(), Constant)).parse("[true]") == ["yes"]
+    assert compiled(caseless(G.json_value())).parse("[TRUE]") == [True]

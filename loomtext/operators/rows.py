@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,11 +72,12 @@ def lookup_everywhere(df: DataFrame, key: str, column: str, dictionary: DataFram
     """Every word of the dictionary at every place it stands: (key, offset, the dictionary's columns).
 
     Up to ``most`` words go to the tasks as a trie, which each text is walked through, so the rows are the finds alone.  Beyond
-    that all pieces of a text of the dictionary's lengths are joined with it.
+    that the texts are cut into runs of letters that the words are made of (any find lies within one), the pieces of each
+    different run, of the dictionary's lengths, are joined with it, and each run's finds go back to all its places.
     """
     known = [r[0] for r in dictionary.select(word).where(F.length(word) > 0).distinct().limit(most + 1).collect()]
     if len(known) > most:
-        return _lookup_by_pieces(df, key, column, dictionary, word)
+        return _lookup_by_runs(df, key, column, dictionary, word)
     trie = Words.of(known).trie
 
     def each(own, t: str) -> list:
@@ -92,12 +95,37 @@ def lookup_everywhere(df: DataFrame, key: str, column: str, dictionary: DataFram
     return found.select(key, "_m.offset", F.col("_m.word").alias(word)).join(dictionary, word).select(key, "offset", *dictionary.columns)
 
 
-def _lookup_by_pieces(df: DataFrame, key: str, column: str, dictionary: DataFrame, word: str) -> DataFrame:
-    lengths = sorted(r[0] for r in dictionary.select(F.length(word)).distinct().collect() if r[0])
-    pieces = df.select(key, column, F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_n")).where(F.length(column) >= F.col("_n"))
-    pieces = pieces.select(key, column, "_n", F.explode(F.sequence(F.lit(1), F.length(column) - F.col("_n") + 1)).alias("_i"))
-    pieces = pieces.select(key, F.col("_i").cast("bigint").alias("offset"), F.substring(F.col(column), F.col("_i"), F.col("_n")).alias(word))
-    return pieces.join(dictionary, word).select(key, "offset", *dictionary.columns)
+#: A run of more places than this is dealt over several tasks where the places meet the finds.
+HOT_RUN = 100_000
+
+
+def _lookup_by_runs(df: DataFrame, key: str, column: str, dictionary: DataFrame, word: str) -> DataFrame:
+    letters = F.transform(F.split(word, ""), lambda c: F.struct(c.alias("letter"), F.lit(0).alias("length")))
+    marks = F.concat(letters, F.array(F.struct(F.lit("").alias("letter"), F.length(word).alias("length"))))
+    told = dictionary.where(F.length(word) > 0).select(F.explode(marks).alias("_m")).select("_m.*").distinct().collect()
+    letters, lengths = sorted(r[0] for r in told if r[0]), sorted(r[1] for r in told if r[1])
+    pattern = re.compile("[%s]{%d,}" % ("".join(map(re.escape, letters)), lengths[0]))
+
+    @F.pandas_udf("places array<int>, runs array<string>")
+    def cut(texts: pd.Series) -> pd.DataFrame:
+        found = [[] if t is None else list(pattern.finditer(t)) for t in texts]
+        return pd.DataFrame({"places": [[m.start() for m in ms] for ms in found], "runs": [[m.group() for m in ms] for ms in found]})
+
+    runs = df.select(key, cut(column).alias("_cut")).select(key, F.explode(F.arrays_zip("_cut.places", "_cut.runs")).alias("_r"))
+    runs = runs.select(key, F.col("_r.places").alias("_at"), F.col("_r.runs").alias("_run"))
+    parts = (F.count(F.lit(1)) / HOT_RUN).cast("int") + 1
+    each = runs.groupBy("_run").agg(parts.alias("_parts"))
+    pieces = each.select("*", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_n")).where(F.length("_run") >= F.col("_n"))
+    pieces = pieces.select("_run", "_parts", "_n", F.explode(F.sequence(F.lit(1), F.length("_run") - F.col("_n") + 1)).alias("_i"))
+    pieces = pieces.select("_run", "_parts", "_i", F.substring(F.col("_run"), F.col("_i"), F.col("_n")).alias(word))
+    # Spark would take the pieces to be few, and broadcast them
+    met = pieces.join(dictionary.hint("merge"), word)
+    finds = met.groupBy("_run", "_parts").agg(F.collect_list(F.struct("_i", F.struct(*dictionary.columns).alias("_word"))).alias("_finds"))
+    finds = finds.select("_run", "_finds", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    hot = F.broadcast(each.where("_parts > 1"))
+    dealt = runs.join(hot, "_run", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(key), F.col("_parts")), F.lit(0)).cast("int"))
+    found = dealt.join(finds.hint("merge"), ["_run", "_part"]).select(key, "_at", F.explode("_finds").alias("_f"))
+    return found.select(key, (F.col("_at") + F.col("_f._i")).cast("bigint").alias("offset"), "_f._word.*")
 
 
 def register(spark, name: str, p, kind=None) -> None:

@@ -226,3 +226,20 @@ def test_pieces_of_texts_are_not_broadcast(spark):
         assert sorted(map(tuple, found.collect())) == [(i, "w1t" if i == 1 else f"w{i}", 1999 if i == 1 else i) for i in range(10)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_words_of_runs(spark, monkeypatch):
+    """A dictionary beyond the trie: pieces are made once for each different run of the words' letters, common runs are dealt out."""
+    monkeypatch.setattr(R, "HOT_RUN", 50, raising=False)
+    table = spark.createDataFrame([("ab", 1), ("b-", 2), ("b-", 3), ("😀]", 4), ("", 5), (None, 6), ("abab", 7)], "word string, id int")
+    said = [" ".join(["ab", "xx", "abab", "a", "é😀]\\ab-"] * 40), "", None, "b-b", "zzz"]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string")
+    got = sorted(map(tuple, R.lookup_everywhere(texts, "i", "t", table, most=2).collect()))
+    words = [("ab", 1), ("b-", 2), ("b-", 3), ("😀]", 4), ("abab", 7)]
+    assert got == sorted((i, k + 1, w, n) for i, t in enumerate(said) if t for w, n in words for k in range(len(t)) if t.startswith(w, k))
+    pieces = spark.range(1, 2).selectExpr("1 AS i", "repeat('abcdefghij ', 20000) AS t")
+    words = spark.range(3000).selectExpr("concat('abcdefghi', chr(97 + id % 26), id) AS word").union(spark.sql("SELECT explode(array('abc', 'ghij', 'j a'))")).where("word != 'j a'")
+    found = R.lookup_everywhere(pieces, "i", "t", words, most=2)
+    assert found.groupBy("word").count().sort("word").collect() == [("abc", 20000), ("ghij", 20000)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan

@@ -92,7 +92,8 @@ def lookup_everywhere(df: DataFrame, key: str, column: str, dictionary: DataFram
 
     kind = as_type("array<struct<offset:bigint,word:string>>")
     found = df.select(key, F.explode(K._run(trie, each, kind, F.col(column), None)).alias("_m"))
-    return found.select(key, "_m.offset", F.col("_m.word").alias(word)).join(dictionary, word).select(key, "offset", *dictionary.columns)
+    # all finds are in the dictionary; an outer join lets Spark broadcast that alone, as it takes the finds to be few
+    return found.select(key, "_m.offset", F.col("_m.word").alias(word)).join(dictionary, word, "left").select(key, "offset", *dictionary.columns)
 
 
 #: A run of more places than this is dealt over several tasks where the places meet the finds.

@@ -224,6 +224,9 @@ def test_pieces_of_texts_are_not_broadcast(spark):
         found = R.lookup_prefix(texts, ["i"], "t", words)
         assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(tuple, found.collect())) == [(i, "w1t" if i == 1 else f"w{i}", 1999 if i == 1 else i) for i in range(10)]
+        every = R.lookup_everywhere(texts, "i", "t", words)
+        assert "BuildLeft" not in every._jdf.queryExecution().executedPlan().toString()
+        assert every.where("i = 1").sort("word").select("offset", "word").collect() == [(1, "w1"), (1, "w1t")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 

@@ -142,31 +142,26 @@ def _placed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _PLACED, strict=True)], schema=_PLACED)
 
 
-def extend(ours: list[str], ahead: int, theirs: list[str], before: int, length: int) -> tuple[int, int] | None:
-    """(words before the gram, words from it on) that agree, if they make up a window; the gram stands after ``ahead`` words."""
-    right, most = 0, min(len(ours) - ahead, len(theirs) - before)
-    while right < most and ours[ahead + right] == theirs[before + right]:
-        right += 1
-    if right < min(GRAM, length):
-        return None
-    left = 0
-    while left < min(ahead, before) and ours[ahead - left - 1] == theirs[before - left - 1]:
-        left += 1
-    return (left, right) if left + right >= length else None
-
-
-HITS = "key bigint, twin bigint, item_id bigint, start int, stop int"
-_HITS = pa.schema([("key", pa.int64()), ("twin", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
-
-
-def _extended(batches):
-    for batch in batches:
-        out, columns = [], {k: batch.column(k).to_pylist() for k in batch.schema.names}
-        for key, twin, length, ours, ahead, places, item, theirs, before in zip(*(columns[k] for k in ("key", "twin", "length", "ours", "ahead", "places", "item_id", "theirs", "before")), strict=True):
-            if reach := extend(ours.split(" "), ahead, theirs.split(" "), before, length):
-                out += [(key, twin, item, p - reach[0], p + reach[1]) for p in places]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _HITS, strict=True)], schema=_HITS)
+def _agree(ours: Column, theirs: Column) -> Column:
+    """How many first words of two arrays of one length agree."""
+    same = F.zip_with(ours, theirs, lambda a, b: a == b)
+    return F.array_position(F.concat(same, F.array(F.lit(False))), False).cast("int") - 1
+
+
+def extended(pairs: DataFrame) -> DataFrame:
+    """(key, twin, item_id, start, stop) of the grams whose words agree on either side as far as to make up a window.
+
+    Columns of the JVM, so that a task whose grams meet the benchmark in the same stage needs no second Python worker.
+    """
+    pairs = pairs.withColumns({"ours": F.split("ours", " "), "theirs": F.split("theirs", " ")})
+    most = F.least(F.size("ours") - F.col("ahead"), F.size("theirs") - F.col("before"))
+    back = F.least("ahead", "before")
+    after = lambda words, at: F.slice(words, F.col(at) + 1, most)
+    ahead_of = lambda words, at: F.reverse(F.slice(words, F.col(at) - back + 1, back))
+    reach = pairs.select("key", "twin", "length", "places", "item_id", _agree(after("ours", "ahead"), after("theirs", "before")).alias("right"), _agree(ahead_of("ours", "ahead"), ahead_of("theirs", "before")).alias("left"))
+    # the gram's own words must agree too: equal hashes are not enough
+    whole = reach.where((F.col("right") >= F.least(F.lit(GRAM), "length")) & (F.col("left") + F.col("right") >= F.col("length")))
+    return whole.withColumn("place", F.explode("places")).select("key", "twin", "item_id", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("stop"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -188,7 +183,7 @@ def _hits(keyed: DataFrame, benchmark: DataFrame, salts: int) -> DataFrame:
     shared = prints.join(known, ["length", "hash", "salt"], "left_semi")
     shared = shared.groupBy("key", "twin").agg(F.collect_set(F.struct("length", "hash")).alias("shared"))
     placed, theirs = _dealt(keyed.join(shared, ["key", "twin"]).mapInArrow(_placed, PLACED), items, salts)
-    return placed.join(theirs, ["length", "hash", "salt"]).drop("hash", "salt").mapInArrow(_extended, HITS)
+    return extended(placed.join(theirs, ["length", "hash", "salt"]))
 
 
 def covered(spans: Column) -> Column:

@@ -153,3 +153,50 @@ def test_hashes_of_words_tell_long_ones_apart():
     assert len(set(hashes.tolist())) == len(words)
     again = word_hashes(np.frombuffer(b"?" + b"x" * 8, np.uint8), np.array([1]), np.array([9]))
     assert again[0] == hashes[5]
+
+
+def test_extended_against_plain_python(spark):
+    import random
+
+    pick, pairs, want = random.Random(3), [], []
+    for k in range(600):
+        length = pick.choice((1, 3, 5, 7, 10))
+        gram = min(5, length)
+        left, right = ([pick.choice(("a", "ab", "è")) for _ in range(pick.randint(0, n))] for n in (length - gram, length - gram))
+        middle = [pick.choice("xy") for _ in range(gram)]
+        other = [["z" if pick.random() < 0.07 else w for w in part] for part in (left[pick.randint(0, len(left)) :], middle, right[: pick.randint(0, len(right))])]
+        places = sorted(pick.sample(range(20, 400), pick.randint(1, 3)))
+        ours, theirs, ahead, before = left + middle + right, sum(other, []), len(left), len(other[0])
+        pairs.append((k, -k, length, " ".join(ours), ahead, places, k % 7 or None, " ".join(theirs), before))
+        a = next((n for n, (x, y) in enumerate(zip(ours[ahead:], theirs[before:], strict=False)) if x != y), min(len(ours) - ahead, len(theirs) - before))
+        b = next((n for n, (x, y) in enumerate(zip(ours[:ahead][::-1], theirs[:before][::-1], strict=False)) if x != y), min(ahead, before))
+        if a >= gram and a + b >= length:
+            want += [(k, -k, k % 7 or None, p - b, p + a) for p in places]
+    df = spark.createDataFrame(pairs, "key bigint, twin bigint, length int, ours string, ahead int, places array<int>, item_id bigint, theirs string, before int")
+    found = decontaminate.extended(df)
+    assert 100 < len(want) < 900
+    assert [f.dataType.simpleString() for f in found.schema] == ["bigint", "bigint", "bigint", "int", "int"]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_decontamination_runs_one_python_function_a_stage(spark):
+    """Two in one stage mean two Python workers for each core, and the idle ones stay for the stages that follow."""
+
+    def deepest(node) -> tuple[int, int]:
+        """(Python functions of the stage at ``node``, most of any stage below)."""
+        below = [deepest(node.children().apply(k)) for k in range(node.children().size())]
+        own, most = sum(x[0] for x in below), max([0, *(x[1] for x in below)])
+        own += any(x in node.nodeName() for x in ("Python", "Arrow", "Pandas"))
+        return (0 if "Exchange" in node.nodeName() else own), max(own, most)
+
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))  # of known size, so that Spark may broadcast
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        for most in ("-1", "1g"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+            for df in (decontaminate._hits(decontaminate._keyed(docs), bench, 8), decontaminate.clean(docs, bench)):
+                assert deepest(df._jdf.queryExecution().executedPlan())[1] == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
